@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import cover_tree, mixing, packing, pii, quality, secret_scan, simhash, toxicity, warc
 
-MODULES = (quality,)
+MODULES = (warc, packing, secret_scan, cover_tree, mixing, toxicity, simhash, quality, pii)
 
 
 def queries() -> dict:
