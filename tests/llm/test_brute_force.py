@@ -337,3 +337,49 @@ def test_empty_tables(docs, spark):
     folder = warc.C.new_path(spark, "warc")
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.merge(warc.read(warc.write(empty, folder), folder)).count() == 0
+
+
+def brute_repeats(texts, length):
+    seen = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i:i + length]] > 1:
+                gone[i:i + length] = True
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone])
+        spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        out.append((len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("together", [256, 1])
+def test_suffix_dedup(spark, docs, rows, together, monkeypatch):
+    from tidemark.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    rng = np.random.default_rng(5)
+    passage = "".join(rng.choice(list("abcdefgh "), 350))
+    extra = []
+    for i in range(60):
+        own = "".join(rng.choice(list("abcdefgh "), rng.integers(0, 400)))
+        more = "".join(rng.choice(list("abcdefgh "), rng.integers(0, 400)))
+        cut = passage[rng.integers(0, 100):350 - rng.integers(0, 100)]
+        if i % 3 == 0:
+            cut = cut[:120] + "#" + cut[121:]
+        extra.append((2000 + i, own + cut + more))
+    extra += [(3000, "ab" * 500), (3001, "z" * 199), (3002, "z" * 199), (3003, "y" * 200), (3004, "y" * 200), (3005, "é" * 101)]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).repartition(3)
+    every = [(i, t) for i, t, _ in rows] + extra
+    want = [(i, *x) for (i, _), x in zip(every, brute_repeats([(t or "").encode() for _, t in every], 200))]
+    assert multiset(suffix_dedup.removed(d).collect()) == multiset(want)
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    from tidemark.llm import suffix_dedup
+
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 105, 5000).astype(np.uint8)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    a, _, s, e = suffix_dedup.stretches(data)
+    assert s[0] == 0 and e[-1] == 4800 and (s[1:] == e[:-1] + 1).all()

@@ -59,3 +59,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def input_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra columns, whatever their names, never meet the operators' own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: Rows (narrow: a key, at most a few spans) that a join may broadcast. Above it both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, rows: int | None = None) -> DataFrame:
+    """Join with ``small`` (written already), broadcast only if its counted rows are within the bound."""
+    n = small.count() if rows is None else rows
+    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)

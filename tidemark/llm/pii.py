@@ -153,12 +153,15 @@ def redact(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     spans = (find(docs, policy).where("size(base) + size(terms) > 0").groupBy("key")
              .agg(F.first("base").alias("base"), F.first("terms").alias("terms"))
              .select(F.col("key").alias("__key"), F.expr(_ALL).alias("__spans")))
+    spans = C.materialize(spans, "spans")
+    weight = spans.agg(F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()[0]  # bounds what a broadcast would hold
     mark = _MARK.format(name=_NAME, remove=policy.remove)
     text = F.expr(f"""aggregate(__spans, named_struct('p', 0, 'o', ''),
       (a, x) -> CASE WHEN x.s >= a.p THEN named_struct('p', x.e, 'o', concat(a.o, substring(text, a.p + 1, x.s - a.p), {mark}))
                      ELSE named_struct('p', greatest(a.p, x.e), 'o', a.o) END,
       a -> concat(a.o, substring(text, a.p + 1, length(text))))""")
-    keyed = docs.withColumn("__key", C.row_key(F.col("doc_id"), F.col("text"))).join(spans, "__key", "left")
+    keyed = docs.withColumn("__key", C.row_key(F.col("doc_id"), F.col("text")))
+    keyed = C.sized_join(keyed, spans, "__key", "left", weight)
     return keyed.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text)).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 

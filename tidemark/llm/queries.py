@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cover_tree, mixing, packing, pii, quality, secret_scan, simhash, toxicity, warc
+from . import cover_tree, mixing, packing, pii, quality, secret_scan, simhash, suffix_dedup, toxicity, warc
 
-MODULES = (warc, packing, secret_scan, cover_tree, mixing, toxicity, simhash, quality, pii)
+MODULES = (warc, packing, secret_scan, cover_tree, mixing, toxicity, simhash, quality, pii, suffix_dedup)
 
 
 def queries() -> dict:

@@ -251,14 +251,13 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
     Where all ids of a component are null, one row of each of its fingerprints stays. Of repeated rows one stays.
     """
     found = C.materialize(duplicates(docs, radius, bucket), "duplicates")
-    nameless = found.where("component_id IS NULL")
-    stay = (found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
-        F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).select("key", "n"))
-    stay = stay.union(nameless.groupBy("fp").agg(F.min("key").alias("key"), F.lit(2).cast("long").alias("n"))
-                      .select("key", "n"))
+    nameless = found.where("component_id IS NULL").groupBy("fp").agg(F.min("key").alias("key")).select("key")
+    stay = (found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id")
+            .agg(F.min("key").alias("key")).select("key").union(nameless))
+    gone = C.materialize(found.select("key").distinct().join(stay, "key", "left_anti").select(F.col("key").alias("__key")), "gone")
     keyed = docs.withColumn("__key", C.row_key(F.col("doc_id"), F.col("text")))
-    out = keyed.join(stay.select(F.col("key").alias("__key")), "__key", "left_semi")
-    if stay.where("n > 1").take(1):  # ids or rows that repeat
+    out = C.sized_join(keyed, gone, "__key", "left_anti")
+    if found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):  # rows that repeat as a whole
         out = out.dropDuplicates(["__key"])
     return out.drop("__key")
 
