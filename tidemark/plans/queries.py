@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import diff, graph, history, leakage, problems, ratings
-from ..policy import HealthPolicy, HistoryPolicy, LeakagePolicy, ProblemPolicy
+from ..operators import comparisons, diff, graph, history, leakage, problems, ratings, resolution
+from ..policy import GraphPolicy, HealthPolicy, HistoryPolicy, LeakagePolicy, ProblemPolicy
 from . import bindings as B
 
 QUERIES: dict = {}
@@ -599,6 +599,136 @@ def test_demotion(spark: SparkSession, sf: str) -> DataFrame:
     return graph.test_demotion(files, decl.distinct())
 
 
+_MEMBERS = "members AS (SELECT DISTINCT node, node % 1000 AS package FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges))"
+_CLOSE = replace(GraphPolicy(), closure_min=4)
+
+
+@query(f"""WITH RECURSIVE {_SPARSE}, {_MEMBERS}, size AS (SELECT package, count(*) AS files FROM members GROUP BY package HAVING count(*) >= 4 AND count(*) <= 4096),
+e2 AS (SELECT src, dst FROM edges WHERE src % 1000 = dst % 1000 AND src % 1000 IN (SELECT package FROM size)),
+reach(src, dst) AS (SELECT src, dst FROM e2 UNION SELECT r.src, e.dst FROM reach r JOIN e2 e ON r.dst = e.src),
+n AS (SELECT m.package, files, m.node, 1 + (SELECT count(*) FROM reach WHERE dst = m.node AND src <> m.node) AS reach FROM members m JOIN size USING (package))
+SELECT package, files, node, reach FROM n QUALIFY row_number() OVER (PARTITION BY package ORDER BY reach DESC, node) = 1""")
+def package_closures(spark: SparkSession, sf: str) -> DataFrame:
+    e = graph.written(_sparse(spark, sf), "sparse")
+    m = graph.nodes(e).withColumn("package", F.col("node") % 1000)
+    return comparisons.package_closures(e, m, _CLOSE)
+
+
+_TOP = "o AS (SELECT ts < TIMESTAMP '1998-01-01' AS early, package, contributor, count(DISTINCT commit) AS n FROM changes GROUP BY ALL), t AS (SELECT early, package, max(n) AS part, sum(n)::BIGINT AS whole FROM o GROUP BY ALL)"
+
+
+@query(f"""WITH {B.ORDERS}, {_TOP}, b AS (SELECT * FROM t WHERE early), a AS (SELECT * FROM t WHERE NOT early)
+SELECT coalesce(b.package, a.package) AS subject, CASE WHEN b.part IS NULL THEN 'introduced' WHEN a.part IS NULL THEN 'dissolved'
+  WHEN a.part * b.whole > b.part * a.whole THEN 'worse' WHEN a.part * b.whole < b.part * a.whole THEN 'better' ELSE 'unchanged' END AS movement,
+  b.part AS part_b, b.whole AS whole_b, a.part AS part_a, a.whole AS whole_a FROM b FULL JOIN a ON a.package = b.package""")
+def share_movement(spark: SparkSession, sf: str) -> DataFrame:
+    c, cut = B.order_changes(spark, sf), F.lit(_CUT).cast("timestamp_ntz")
+    side = lambda d: history.ownership(d, "package").select(
+        F.col("package").alias("subject"), F.col("top_commits").alias("part"), F.col("commits").alias("whole"))
+    return comparisons.fraction_movement(side(c.where(F.col("ts") < cut)), side(c.where(F.col("ts") >= cut)))
+
+
+@query(f"""WITH {_HALVES}, b AS (SELECT DISTINCT src, dst FROM eb), a AS (SELECT DISTINCT src, dst FROM ea)
+SELECT src, dst, 'removed' AS movement FROM (FROM b EXCEPT FROM a) UNION ALL SELECT src, dst, 'introduced' FROM (FROM a EXCEPT FROM b)""")
+def edge_movement(spark: SparkSession, sf: str) -> DataFrame:
+    return comparisons.key_movement(B.nation_edges(spark, sf, 120, until=_CUT), B.nation_edges(spark, sf, 120, since=_CUT), "src", "dst")
+
+
+@query(f"""WITH {_HALVES}, p AS (SELECT a.n_nationkey::BIGINT AS "left", b.n_nationkey::BIGINT AS "right" FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey),
+x AS (SELECT "left", "right", EXISTS (SELECT 1 FROM eb WHERE least(src, dst) = "left" AND greatest(src, dst) = "right") AS b,
+  EXISTS (SELECT 1 FROM ea WHERE least(src, dst) = "left" AND greatest(src, dst) = "right") AS a FROM p)
+SELECT "left", "right", CASE WHEN b THEN 'introduced' ELSE 'dissolved' END AS movement FROM x WHERE a <> b""")
+def evolution_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    n = B.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    pairs = n.select(F.col("k").alias("left")).join(n.select(F.col("k").alias("right")), F.col("left") < F.col("right"))
+    return comparisons.explanation_flips(pairs, B.nation_edges(spark, sf, 120, until=_CUT), B.nation_edges(spark, sf, 120, since=_CUT))
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, 'web/' || p_brand || '/' || CASE WHEN p_partkey % 40 = 0 THEN 'index.js' ELSE 'p' || p_partkey || CASE WHEN p_size % 4 = 0 THEN '.ts' ELSE '.js' END END AS path,
+  p_size % 3 = 0 AS module FROM part)
+SELECT DISTINCT path FROM f WHERE path LIKE '%.js' AND NOT module AND path NOT LIKE '%/index.js' AND k % 5 <> 0 AND k % 7 <> 0
+  AND path NOT IN (SELECT path FROM f JOIN lineitem ON l_partkey = k WHERE l_shipdate >= TIMESTAMP '2001-06-01')""")
+def dormant_files(spark: SparkSession, sf: str) -> DataFrame:
+    p = B.table(spark, sf, "part")
+    name = F.when(F.col("p_partkey") % 40 == 0, "index.js").otherwise(
+        F.concat(F.lit("p"), "p_partkey", F.when(F.col("p_size") % 4 == 0, ".ts").otherwise(".js")))
+    f = p.select(F.col("p_partkey").alias("k"), F.concat(F.lit("web/"), "p_brand", F.lit("/"), name).alias("path"), (F.col("p_size") % 3 == 0).alias("module_syntax"))
+    f = f.withColumn("language", paths.language(F.col("path")))
+    li = B.table(spark, sf, "lineitem").where(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"))
+    touched = f.join(li, f.k == li.l_partkey, "left_semi")
+    return comparisons.dormant(f, f.where("k % 5 = 0"), f.where("k % 7 = 0"), touched).distinct()
+
+
+_EVID = """files AS (SELECT p_brand AS package, p_partkey AS k, CASE WHEN p_type = 'LARGE' THEN 'test' ELSE 'primary' END AS role, CASE WHEN p_size = 50 AND p_partkey % 3 = 0 THEN 'advisory' ELSE 'trusted' END AS trust FROM part),
+gaps AS (SELECT package FROM files WHERE role = 'primary' AND trust <> 'trusted' UNION SELECT package FROM files WHERE k % 97 = 0)"""
+
+
+@query(f"WITH {_EVID} SELECT package FROM gaps")
+def incomplete_packages(spark: SparkSession, sf: str) -> DataFrame:
+    return comparisons.incomplete_packages(*_evidence(spark, sf))
+
+
+@query(f"""WITH {_EVID} SELECT package, sum((package NOT IN (SELECT package FROM gaps))::BIGINT)::BIGINT AS stated,
+  sum((package IN (SELECT package FROM gaps))::BIGINT)::BIGINT AS withheld FROM files GROUP BY package""")
+def withheld_facts(spark: SparkSession, sf: str) -> DataFrame:
+    files, outcomes = _evidence(spark, sf)
+    return comparisons.withheld(files, comparisons.incomplete_packages(files, outcomes))
+
+
+def _evidence(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = B.table(spark, sf, "part")
+    files = p.select(F.col("p_brand").alias("package"), F.col("p_partkey").alias("k"), F.when(F.col("p_type") == "LARGE", "test").otherwise("primary").alias("role"),
+                     F.when((F.col("p_size") == 50) & (F.col("p_partkey") % 3 == 0), "advisory").otherwise("trusted").alias("trust"))
+    return files, files.select("package", F.when(F.col("k") % 97 == 0, "unresolved").otherwise("resolved").alias("outcome"))
+
+
+@query(f"""WITH {ASSESSED}, d AS (SELECT CASE rating WHEN 2 THEN 'worse' WHEN 1 THEN 'better' ELSE 'changed' END AS direction, path, start_line, ordinal, cognitive, cyclomatic FROM assessed),
+r AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY cognitive DESC, cyclomatic DESC, path, start_line, ordinal) AS nth FROM d)
+SELECT direction, path, start_line, row_number() OVER (ORDER BY (nth > 1)::INT, cognitive DESC, cyclomatic DESC, path, start_line, ordinal) AS place FROM r QUALIFY place <= 6""")
+def diff_screen(spark: SparkSession, sf: str) -> DataFrame:
+    d = assessed(spark, sf).withColumn("direction", F.when(F.col("rating") == 2, "worse").when(F.col("rating") == 1, "better").otherwise("changed"))
+    order = [F.desc("cognitive"), F.desc("cyclomatic"), F.asc("path"), F.asc("start_line"), F.asc("ordinal")]
+    return comparisons.screen(d, order, 6).select("direction", "path", "start_line", "place")
+
+
+@query(f"""WITH {ASSESSED}, sig AS (SELECT path, unnest([{', '.join(f"{{'s': '{n}', 'r': r_{s}}}" for s, n in _SIG.items())}]) AS x FROM assessed WHERE affects_verdict)
+SELECT path, x.s AS signal, sum((x.r = 2)::BIGINT)::BIGINT AS high, sum((x.r = 1)::BIGINT)::BIGINT AS watch FROM sig WHERE x.r > 0 GROUP BY ALL""")
+def gate_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    return ratings.gate_snapshot(assessed(spark, sf))
+
+
+_REFS = """files AS (SELECT DISTINCT 'lib/b' || p_size % 5 || '/p' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '.js' END AS path FROM part),
+refs AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS ref_id, '../b' || l_linenumber % 5 || '/p' || l_partkey || '.js' || CASE WHEN l_tax > 0.05 THEN '?raw' ELSE '' END AS target FROM lineitem)"""
+
+
+@query(f"""WITH {_REFS}, c AS (SELECT ref_id, 'lib/' || regexp_replace(substr(target, 4), '[?].*$', '') AS c FROM refs),
+o AS (SELECT ref_id, c AS candidate, 0 AS pr FROM c UNION SELECT ref_id, regexp_replace(c, 'js$', 'ts'), 1 FROM c UNION SELECT ref_id, regexp_replace(c, 'js$', 'tsx'), 1 FROM c),
+h AS (SELECT ref_id, pr, count(DISTINCT candidate) AS n, min(candidate) AS path FROM o JOIN files ON path = candidate GROUP BY 1, 2),
+m AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY pr) = 1), ids AS (SELECT DISTINCT ref_id FROM refs)
+SELECT ref_id, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome, CASE WHEN n = 1 THEN path END AS path FROM ids LEFT JOIN m USING (ref_id)""")
+def reference_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    p, li = B.table(spark, sf, "part"), B.table(spark, sf, "lineitem")
+    k = F.col("p_partkey") % 4
+    files = p.select(F.concat(F.lit("lib/b"), (F.col("p_size") % 5).cast("string"), F.lit("/p"), "p_partkey",
+                              F.when(k == 0, ".ts").when(k == 1, ".tsx").otherwise(".js")).alias("path")).distinct()
+    refs = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ref_id"), F.lit("lib/x").alias("directory"), F.concat(
+        F.lit("../b"), (F.col("l_linenumber") % 5).cast("string"), F.lit("/p"), "l_partkey", F.lit(".js"), F.when(F.col("l_tax") > 0.05, "?raw").otherwise("")).alias("target"))
+    c = resolution.runtime_candidates(resolution.relative_candidates(refs)).distinct()
+    return resolution.unique_match(refs.select("ref_id").distinct(), c, files)
+
+
+@query("""WITH packs AS (SELECT 'pkg' || p_size AS manifest_name, p_brand AS package FROM part WHERE p_partkey % 11 = 0),
+refs AS (SELECT l_orderkey * 8 + l_linenumber AS ref_id, 'pkg' || (l_partkey % 60) AS first FROM lineitem), ids AS (SELECT DISTINCT ref_id, first FROM refs),
+n AS (SELECT manifest_name AS first, count(DISTINCT package) AS n, min(package) AS package FROM packs GROUP BY 1)
+SELECT ref_id, CASE WHEN n IS NULL THEN 'external' WHEN n > 1 THEN 'ambiguous' ELSE 'package' END AS outcome, CASE WHEN n = 1 THEN package END AS package FROM ids LEFT JOIN n USING (first)""")
+def manifest_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    p, li = B.table(spark, sf, "part"), B.table(spark, sf, "lineitem")
+    packs = p.where("p_partkey % 11 = 0").select(F.concat(F.lit("pkg"), "p_size").alias("manifest_name"), F.col("p_brand").alias("package"))
+    refs = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ref_id"),
+                     F.concat(F.lit("pkg"), (F.col("l_partkey") % 60).cast("string"), F.lit("/sub")).alias("target")).distinct()
+    return resolution.manifest_match(refs, packs)
+
+
 @query("SELECT event_type, date_trunc('day', ts)::DATE::VARCHAR AS day, count(*) AS changes, count(DISTINCT event_id) AS commits FROM events GROUP BY ALL")
 def event_hotspots_stream(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming.hotspots import daily_changes
