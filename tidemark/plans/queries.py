@@ -396,10 +396,24 @@ def relation_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return graph.relation_changes(B.nation_edges(spark, sf, 120, until=_CUT), B.nation_edges(spark, sf, 120, since=_CUT))
 
 
-@query("")
+def _cycle_sql(reach: str, edges: str, name: str) -> str:
+    return f"""{name}n AS (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges}), {name}s AS (SELECT node, least(node, coalesce(
+  (SELECT min(a.dst) FROM {reach} a JOIN {reach} b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node))::BIGINT AS component FROM {name}n),
+{name}c AS (SELECT * FROM {name}s WHERE component IN (SELECT component FROM {name}s GROUP BY component HAVING count(*) > 1))"""
+
+
+@query(f"""WITH RECURSIVE eb AS (SELECT DISTINCT p_partkey % 50 AS src, p_size % 50 AS dst FROM part WHERE p_partkey // 7 % 25 = 0),
+ea AS (SELECT DISTINCT p_partkey % 50 AS src, p_size % 50 AS dst FROM part WHERE p_partkey // 7 % 25 = 1),
+rb(src, dst) AS (SELECT src, dst FROM eb UNION SELECT r.src, e.dst FROM rb r JOIN eb e ON r.dst = e.src),
+ra(src, dst) AS (SELECT src, dst FROM ea UNION SELECT r.src, e.dst FROM ra r JOIN ea e ON r.dst = e.src),
+{_cycle_sql("rb", "eb", "x")}, {_cycle_sql("ra", "ea", "y")}
+SELECT component, count(*) AS size, 'removed' AS kind FROM xc GROUP BY component HAVING bool_and(node NOT IN (SELECT node FROM yc))
+UNION ALL SELECT component, count(*), 'added' FROM yc GROUP BY component HAVING bool_and(node NOT IN (SELECT node FROM xc))""")
 def cycle_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    b, a = B.nation_edges(spark, sf, 160, until=_CUT), B.nation_edges(spark, sf, 160, since=_CUT)
-    return diff.cycle_changes(graph.written(graph.cycles(b), "cycles"), graph.written(graph.cycles(a), "cycles"))
+    p = B.table(spark, sf, "part")
+    side = lambda n: graph.written(graph.cycles(p.where(F.floor(F.col("p_partkey") / 7) % 25 == n).select(
+        (F.col("p_partkey") % 50).alias("src"), (F.col("p_size") % 50).cast("long").alias("dst")).distinct()), "cycles")
+    return diff.cycle_changes(side(0), side(1))
 
 
 _SIG = {"cognitive": "cognitive", "cyclomatic": "cyclomatic", "logical_lines": "logical_lines", "max_nesting": "nesting", "parameter_count": "parameters"}
