@@ -402,8 +402,8 @@ def _cycle_sql(reach: str, edges: str, name: str) -> str:
 {name}c AS (SELECT * FROM {name}s WHERE component IN (SELECT component FROM {name}s GROUP BY component HAVING count(*) > 1))"""
 
 
-@query(f"""WITH RECURSIVE eb AS (SELECT DISTINCT p_partkey % 50 AS src, p_size % 50 AS dst FROM part WHERE p_partkey // 7 % 25 = 0),
-ea AS (SELECT DISTINCT p_partkey % 50 AS src, p_size % 50 AS dst FROM part WHERE p_partkey // 7 % 25 = 1),
+@query(f"""WITH RECURSIVE eb AS (SELECT p_partkey AS src, p_partkey // 8 * 8 + (p_partkey * 5 + p_size) % 8 AS dst FROM part),
+ea AS (SELECT p_partkey AS src, p_partkey // 8 * 8 + (p_partkey * 5 + p_size // 3) % 8 AS dst FROM part),
 rb(src, dst) AS (SELECT src, dst FROM eb UNION SELECT r.src, e.dst FROM rb r JOIN eb e ON r.dst = e.src),
 ra(src, dst) AS (SELECT src, dst FROM ea UNION SELECT r.src, e.dst FROM ra r JOIN ea e ON r.dst = e.src),
 {_cycle_sql("rb", "eb", "x")}, {_cycle_sql("ra", "ea", "y")}
@@ -411,9 +411,10 @@ SELECT component, count(*) AS size, 'removed' AS kind FROM xc GROUP BY component
 UNION ALL SELECT component, count(*), 'added' FROM yc GROUP BY component HAVING bool_and(node NOT IN (SELECT node FROM xc))""")
 def cycle_comparison(spark: SparkSession, sf: str) -> DataFrame:
     p = B.table(spark, sf, "part")
-    side = lambda n: graph.written(graph.cycles(p.where(F.floor(F.col("p_partkey") / 7) % 25 == n).select(
-        (F.col("p_partkey") % 50).alias("src"), (F.col("p_size") % 50).cast("long").alias("dst")).distinct()), "cycles")
-    return diff.cycle_changes(side(0), side(1))
+    k = F.col("p_partkey")
+    side = lambda size: graph.written(graph.cycles(p.select(
+        k.alias("src"), (F.floor(k / 8) * 8 + (k * 5 + size) % 8).cast("long").alias("dst"))), "cycles")
+    return diff.cycle_changes(side(F.col("p_size")), side(F.floor(F.col("p_size") / 3)))
 
 
 _SIG = {"cognitive": "cognitive", "cyclomatic": "cyclomatic", "logical_lines": "logical_lines", "max_nesting": "nesting", "parameter_count": "parameters"}
@@ -446,8 +447,8 @@ def gate_moves(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     d = B.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("uid"), F.col("source").alias("path"), F.substring("text", 1, 12).alias("declared"),
-        F.when(F.col("n_chars") % 2 == 0, F.substring("text", 1, 40)).alias("anchor"), F.sha2("text", 256).alias("fingerprint"))
+        F.col("doc_id").alias("uid"), F.col("source").alias("path"), F.concat_ws("-", "lang", "n_chars").alias("declared"),
+        F.when(F.col("lang") == "en", F.sha2(F.lower("text"), 256)).alias("anchor"), F.sha2("text", 256).alias("fingerprint"))
     return d.where("uid % 2 = 0"), d.where("uid % 2 = 1")
 
 
@@ -472,7 +473,7 @@ def ambiguous_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ONE = """t AS (SELECT l_orderkey * 100000 + l_partkey * 8 + l_linenumber AS uid, 's' || l_suppkey AS path, l_returnflag AS kind, (l_linenumber % 3)::BIGINT AS rating,
-  l_quantity >= 25 AS anonymous, l_shipdate < TIMESTAMP '1998-01-01' AS early FROM lineitem WHERE l_orderkey % 7 = 0),
+  l_quantity >= 25 AS anonymous, l_shipdate < TIMESTAMP '1998-01-01' AS early FROM lineitem),
 u AS (SELECT uid, any_value(path) AS path, any_value(kind) AS kind, any_value(rating) AS rating, any_value(anonymous) AS anonymous, any_value(early) AS early FROM t GROUP BY uid HAVING count(*) = 1)"""
 
 
@@ -481,7 +482,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY early, anonymous, path, kind, ra
 SELECT uid, path, kind, rating, CASE WHEN early THEN 'removed' ELSE 'added' END AS comparison, anonymous AND nth <= coalesce(budget, 0) AS withheld
 FROM r LEFT JOIN n USING (path, kind, rating)""")
 def one_sided_units(spark: SparkSession, sf: str) -> DataFrame:
-    li = B.table(spark, sf, "lineitem").where("l_orderkey % 7 = 0")
+    li = B.table(spark, sf, "lineitem")
     u = li.select((F.col("l_orderkey") * 100000 + F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("uid"), F.concat(F.lit("s"), "l_suppkey").alias("path"),
                   F.col("l_returnflag").alias("kind"), (F.col("l_linenumber") % 3).cast("long").alias("rating"), (F.col("l_quantity") >= 25).alias("anonymous"),
                   (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("early"))
