@@ -33,12 +33,11 @@ class QualityPolicy:
     max_removed_percent: int = 70
 
 
-_AT = ", ".join(f"wh[i + {j}]" for j in range(WINDOW))
 #: Words inside 8-word windows that occur twice or more in the text. transform(array(x), y -> ...) binds y once.
 REPEAT_WORDS = f"""
 CASE WHEN size(ws) <= {WINDOW} THEN 0L ELSE
 transform(array(transform(ws, w -> xxhash64(w))), wh ->
- transform(array(transform(sequence(0, size(wh) - {WINDOW}), i -> xxhash64({_AT}))), h ->
+ transform(array(transform(sequence(1, size(wh) - {WINDOW - 1}), i -> xxhash64(slice(wh, i, {WINDOW})))), h ->
   CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE
    transform(array(array_sort(transform(h, (x, i) -> struct(x AS x, i AS i)))), ph ->
     transform(array(sort_array(transform(
@@ -52,46 +51,41 @@ END"""
 
 
 def _lines(text):
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.translate(x, C.ASCII_WS, " " * 5))) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\f\r")) != "")
 
 
-def _normal(line):
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+def _normal_lines(text):
+    """Lines in lower case with single blanks; the whole text is normalised at once."""
+    flat = F.lower(F.translate(text, "\t\x0b\f\r", " " * 4))
+    flat = F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
+    return F.array_distinct(F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: base counts, and the key that names equal rows."""
-    text = C.whole("text")
-    d = C.input_columns(docs, "doc_id", "text", "source").select(
-        "doc_id", F.coalesce(F.col("source"), F.lit("\x00")).alias("host"), text.alias("text"),
+    """One narrow row per document, from one pass over the text: base counts, the key that names equal rows, and the
+    distinct normalised lines as (hash, words)."""
+    d = docs.select(
+        "doc_id", F.coalesce(F.col("source"), F.lit("\x00")).alias("host"), C.whole("text").alias("text"),
         C.row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key"))
-    d = d.withColumn("ws", C.words(F.col("text"))).withColumn("lines", _lines(F.col("text")))
+    d = d.withColumn("ws", C.words(F.col("text"))).withColumn("raw", _lines(F.col("text")))
+    d = d.withColumn("normal", _normal_lines(F.col("text")))
     shown = lambda c: F.length(c).cast("long")
     return d.select(
         "doc_id", "host", "key",
         F.size("ws").cast("long").alias("n_words"),
         shown(F.translate("text", " " + C.ASCII_WS, "")).alias("word_chars"),
         (shown(F.col("text")) - shown(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(REPEAT_WORDS).alias("n_repeat_words"))
-
-
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(host, key, line, words): every distinct normalised line of every document."""
-    d = C.input_columns(docs, "doc_id", "text", "source").select(
-        F.coalesce(F.col("source"), F.lit("\x00")).alias("host"),
-        C.row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key"),
-        F.array_distinct(F.transform(_lines(C.whole("text")), _normal)).alias("lines"))
-    return d.select("host", "key", F.explode("lines").alias("l")).select(
-        "host", "key", F.xxhash64("l").alias("line"),
-        (F.length("l") - F.length(F.translate("l", " ", "")) + 1).alias("words"))
+        (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
+        F.expr(REPEAT_WORDS).alias("n_repeat_words"),
+        F.transform("normal", lambda x: F.struct(
+            F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))).alias("lines"))
 
 
 def verdicts(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
     """Base counts of every row, the words its host's frequent lines hold, and whether the document is kept."""
-    lines = line_rows(docs)
-    hosts = (C.input_columns(docs, "source").groupBy(F.coalesce("source", F.lit("\x00")).alias("host"))
-             .agg(F.count(F.lit(1)).alias("host_docs")))
+    base = C.materialize(features(docs), "quality")
+    lines = base.select("host", "key", F.explode("lines").alias("l")).select("host", "key", "l.line", "l.words")
+    hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     frequent = (lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
                 .where(F.col("docs") > policy.line_docs).join(hosts, "host")
                 .where(F.col("docs") * 100 > F.col("host_docs") * policy.line_percent)
@@ -100,8 +94,8 @@ def verdicts(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFr
     removed = (lines.join(frequent, ["host", "line"])
                .groupBy("key").agg(F.collect_set(F.struct("line", "words")).alias("gone"))
                .select("key", F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("gone")))
-    base = features(docs).join(removed, "key", "left")
-    return (base.withColumn("n_removed_words", F.coalesce("gone", F.lit(0).cast("long")))
+    return (base.drop("lines").join(removed, "key", "left")
+            .withColumn("n_removed_words", F.coalesce("gone", F.lit(0).cast("long")))
             .withColumn("base_failed", (F.col("n_words") < policy.min_words)
                         | (F.col("n_repeat_words") * 100 > F.col("n_words") * policy.max_repeat_percent))
             .withColumn("kept", ~F.col("base_failed")
@@ -109,10 +103,11 @@ def verdicts(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFr
 
 
 def keep_good(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
-    """The rows of docs that are kept, all columns unchanged. Narrow keys are joined; rejects are the small side."""
+    """The rows of docs that are kept, all columns unchanged. Only keys of rejects are joined; the text stays where it
+    is as long as they are few enough to broadcast."""
     rejected = verdicts(docs, policy).where(~F.col("kept")).select(F.col("key").alias("__key")).distinct()
     keyed = docs.withColumn("__key", C.row_key(F.col("doc_id"), F.col("source"), F.col("text")))
-    return keyed.join(rejected, "__key", "left_anti").drop("__key")
+    return C.sized_join(keyed, C.materialize(rejected, "rejected"), "__key", "left_anti").drop("__key")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
