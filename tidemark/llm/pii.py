@@ -38,8 +38,6 @@ class Policy:
     support: int = 3
     disclose: float = 0.8
     remove: float = 0.999
-    #: Candidate terms up to this number (32 bytes each) are broadcast; above it counts are joined by a shuffle.
-    broadcast_terms: int = 200_000
 
 
 _SPAN = "array<struct<s:int,e:int,m:string>>"
@@ -117,10 +115,8 @@ def disclosures(docs: DataFrame, base: DataFrame, policy: Policy = Policy()) ->
     terms = C.materialize(pairs.select("term").distinct(), "terms")
     words = (docs.select(C.row_key(F.col("doc_id"), F.col("text")).alias("key"), F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower(C.whole("text")), F.lit(TERM), F.lit(0)))).alias("term")))
-    if terms.count() <= policy.broadcast_terms:
-        counts = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    else:
-        counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term")
+    # Counted before the join: what the join makes is one row per candidate, however many terms become candidates.
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term")
     log2 = lambda c: F.log2(c.cast("double"))
     known = F.lit(float(max(n, 1)))
     return (pairs.join(entities, "entity").join(counts, "term").where(F.col("n_e") < known)
