@@ -195,7 +195,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{path} has {len(rows)} records, the manifest {n}")
                 yield from _batches(sorted(rows, key=_order), _TYPES, _COLUMNS)
 
-    return manifest.repartition("path").mapInArrow(run, _CAPTURE)
+    # A number of partitions of its own: archives are large, however small the manifest is.
+    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(run, _CAPTURE)
 
 
 class LoserTree:
