@@ -1,12 +1,13 @@
 """Quality rules with cross-document line frequency (DataFrame functions only).
 
 Every normalised line is hashed; the documents of one host (``source``) that hold it are counted; a line held by
-more documents than the limits allow is boilerplate of that host and is removed; a document of which too little is
+more documents than the limits allow is boilerplate of that host and is removed (:func:`keep_good` gives the text without it); a document of which too little is
 left is rejected, as is one that fails the base rules (too few words, too many words in repeated 8-word windows).
 
 Cases: a null text is empty (no words, so it fails the base rules); a null source is a host of its own; rows count
 one by one, so a repeated row counts as often as it occurs and every copy gets the same verdict; an empty table
-gives an empty result; other columns are ignored by :func:`features` and carried through by :func:`keep_good`.
+gives an empty result; other columns are ignored by :func:`features` and carried through by :func:`keep_good`. The verdict counts a
+boilerplate line's words once; the text loses every occurrence.
 """
 
 from __future__ import annotations
@@ -54,11 +55,22 @@ def _lines(text):
     return F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\f\r")) != "")
 
 
-def _normal_lines(text):
-    """Lines in lower case with single blanks; the whole text is normalised at once."""
+def _normal(text):
+    """Every line in lower case with single blanks, in order; the whole text is normalised at once."""
     flat = F.lower(F.translate(text, "\t\x0b\f\r", " " * 4))
     flat = F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
-    return F.array_distinct(F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
+
+
+def _normal_lines(text):
+    return F.array_distinct(F.filter(_normal(text), lambda x: x != ""))
+
+
+def _without(text, gone):
+    """The text without the lines whose normalised hash is in gone, wherever and however often they stand."""
+    lines = F.arrays_zip(F.split(text, "\n").alias("raw"), _normal(text).alias("normal"))
+    left = F.filter(lines, lambda x: ~F.array_contains(gone, F.xxhash64(x["normal"])))
+    return F.array_join(F.transform(left, lambda x: x["raw"]), "\n")
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -93,7 +105,8 @@ def verdicts(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFr
     # A set, so that equal rows (one key) count their lines once.
     removed = (lines.join(frequent, ["host", "line"])
                .groupBy("key").agg(F.collect_set(F.struct("line", "words")).alias("gone"))
-               .select("key", F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("gone")))
+               .select("key", F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("gone"),
+                       F.col("gone.line").alias("gone_lines")))
     return (base.drop("lines").join(removed, "key", "left")
             .withColumn("n_removed_words", F.coalesce("gone", F.lit(0).cast("long")))
             .withColumn("base_failed", (F.col("n_words") < policy.min_words)
@@ -103,11 +116,17 @@ def verdicts(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFr
 
 
 def keep_good(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
-    """The rows of docs that are kept, all columns unchanged. Only keys of rejects are joined; the text stays where it
-    is as long as they are few enough to broadcast."""
-    rejected = verdicts(docs, policy).where(~F.col("kept")).select(F.col("key").alias("__key")).distinct()
+    """The rows of docs that are kept, their text without the frequent lines of their host; other columns unchanged.
+    Only keys of rejects and of rows that lose lines are joined; the text stays where it is as long as they are few
+    enough to broadcast."""
+    found = (verdicts(docs, policy).where(~F.col("kept") | F.col("gone_lines").isNotNull())
+             .groupBy(F.col("key").alias("__key")).agg(F.first("kept").alias("__kept"), F.first("gone_lines").alias("__gone")))
+    found = C.materialize(found.withColumn("__gone", F.when(F.col("__kept"), F.col("__gone"))), "found")
+    weight = found.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.size(F.coalesce("__gone", F.array())))), F.lit(0))).first()[0]
     keyed = docs.withColumn("__key", C.row_key(F.col("doc_id"), F.col("source"), F.col("text")))
-    return C.sized_join(keyed, C.materialize(rejected, "rejected"), "__key", "left_anti").drop("__key")
+    keyed = C.sized_join(keyed, found, "__key", "left", weight).where(F.coalesce("__kept", F.lit(True)))
+    return keyed.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text"))
+                            .otherwise(_without(F.col("text"), F.col("__gone")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
