@@ -3,8 +3,9 @@
 Pattern matches are found with their places by splitting a text at the pattern: the lengths of the pieces and of the
 matches add up to the offsets. The sanitisation then asks of every term in a context of a match how much of the
 entity's information it gives away: with document counts over the whole corpus, PMI(term; entity) / IC(entity), which
-is 1 where the term occurs only with the entity. Terms at or above ``disclose`` with enough support are generalised,
-those at or above ``remove`` are removed.
+is 1 where the term occurs only with the entity. Every pair counts, also one of a single document: a smoothing strong
+enough to matter there would be a cut by another name. Terms at or above ``disclose`` are generalised, those at or
+above ``remove`` are removed.
 
 Cases: a null text is empty (no spans); repeated rows get equal spans and count as one document of the corpus
 statistics; a null doc_id is carried; an empty table gives an empty result; other columns are ignored by :func:`find`
@@ -34,8 +35,6 @@ TERM = r"\p{L}{4,}"
 class Policy:
     #: Code points on either side of a match that make its context.
     context: int = 60
-    #: Documents in which a term must stand next to the entity.
-    support: int = 3
     disclose: float = 0.8
     remove: float = 0.999
 
@@ -110,7 +109,7 @@ def disclosures(docs: DataFrame, base: DataFrame, policy: Policy = Policy()) ->
     entities = mentions.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = (base.where("size(near) > 0").select("key", F.explode("near").alias("t"))
              .select("key", "t.entity", "t.term").distinct()
-             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= policy.support))
+             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")))
     pairs = C.materialize(pairs, "pairs")
     terms = C.materialize(pairs.select("term").distinct(), "terms")
     words = (docs.select(C.row_key(F.col("doc_id"), F.col("text")).alias("key"), F.explode(F.array_distinct(
