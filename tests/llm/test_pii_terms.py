@@ -1,5 +1,9 @@
 """Terms that disclose entities of the corpus, against what the counts say."""
 
+import re
+from collections import Counter, defaultdict
+from math import log2
+
 from tidemark.llm import pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -22,3 +26,34 @@ def test_terms_of_entities_in_one_or_two_documents(spark):
     assert spans[0] == [(0, 6)] and spans[1] == spans[2] == [(0, 7)]
     assert text[0] == " writes to [EMAIL] about the plan" and text[1] == " writes to [IP] about the plan"
     assert all(spans[i] == [] for i, _ in others(60))
+
+
+def test_terms_of_the_whole_document(spark):
+    far = "about the plan " * 10
+    rows = [(0, f"Bo Zorbex {far}user zb77q, then 李明 and 我见王芳了 {far}Zorbex mailed hidden@corp.com; zorbex")]
+    spans, text = found(spark, rows + others(30) + [(200, "about the plan user then and mailed"), (201, "我见到了他"),
+                                                    (202, "user then and mailed")])
+    marked = [rows[0][1][s:e] for s, e in spans[0]]
+    assert {"Bo", "Zorbex", "zorbex", "zb77q", "李明", "王芳"} <= set(marked)
+    assert marked.count("Zorbex") == 2 and not {"about", "the", "plan"} & set(marked)
+    assert not re.search("bo |zorbex|zb77q|李|王芳", text[0].lower())
+
+
+def test_disclosing_terms_against_counts(spark):
+    names = [f"n{i}" for i in range(12)]
+    rows = [(i, " ".join([names[i % 12], names[i * 5 % 7], f"id{i // 3}", "common", f"w{i % 4}x"]
+                         + [f"{c}@corp.com" for c in ("ab", "cd", "ef")[:i % 4] if i < 40] + [f"tail{i % 9}"]))
+            for i in range(300)]
+    held, having, both = defaultdict(set), Counter(), Counter()
+    terms = {i: Counter(re.findall(r"\w{2,}", re.sub(r"\S+@\S+", " ", t))) for i, t in rows}
+    for i, t in rows:
+        held[i] = set(re.findall(r"\S+@\S+", t))
+        having.update(set(re.findall(r"\w{2,}", t)))
+        both.update((e, w) for e in held[i] for w in terms[i])
+    n_e, n = Counter(e for h in held.values() for e in h), len(rows)
+    rule = {(e, w) for (e, w), k in both.items()
+            if log2(k * n / (n_e[e] * having[w])) / log2(n / n_e[e]) >= pii.Policy().disclose}
+    want = {i: sorted(m.span() for m in re.finditer(r"\w{2,}", re.sub(r"\S+@\S+", lambda m: " " * len(m[0]), t))
+                      if any((e, m[0]) in rule for e in held[i])) for i, t in rows}
+    spans, _ = found(spark, rows)
+    assert rule and spans == want

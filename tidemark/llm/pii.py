@@ -1,11 +1,12 @@
-"""Personal data: fixed patterns, and terms that disclose the entities they stand next to (DataFrame functions only).
+"""Personal data: fixed patterns, and terms that disclose the entities of their documents (DataFrame functions only).
 
 Pattern matches are found with their places by splitting a text at the pattern: the lengths of the pieces and of the
-matches add up to the offsets. The sanitisation then asks of every term in a context of a match how much of the
+matches add up to the offsets. The sanitisation then asks of every term of a document with a match how much of the
 entity's information it gives away: with document counts over the whole corpus, PMI(term; entity) / IC(entity), which
 is 1 where the term occurs only with the entity. Every pair counts, also one of a single document: a smoothing strong
 enough to matter there would be a cut by another name. Terms at or above ``disclose`` are generalised, those at or
-above ``remove`` are removed.
+above ``remove`` are removed, at every place of the document outside the matches. Terms are runs of two or more
+letters, digits and underscores, and every two neighbouring characters of a Han or kana run, which has no blanks.
 
 Cases: a null text is empty (no spans); repeated rows get equal spans and count as one document of the corpus
 statistics; a null doc_id is carried; an empty table gives an empty result; other columns are ignored by :func:`find`
@@ -28,13 +29,14 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{M}\p{N}_]{2,}"
+_CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+#: A place before two such characters; the group holds them.
+BIGRAM = rf"(?=({_CJK}{{2}}))"
 
 
 @dataclass(frozen=True)
 class Policy:
-    #: Code points on either side of a match that make its context.
-    context: int = 60
     disclose: float = 0.8
     remove: float = 0.999
 
@@ -79,59 +81,104 @@ def _of_kind(kind: str, regex: str, needs: str | None) -> str:
     return f"CASE WHEN contains(text, '{needs}') THEN {found} ELSE {none} END" if needs else found
 
 
-def _context(policy: Policy) -> str:
-    """Terms of both sides of every base span; a word that the context's outer edge cuts is left out."""
-    c = policy.context
-    side = ("transform(filter({places}, t -> {whole}), t -> struct(b.entity AS entity, lower(t.m) AS term, "
-            "CAST(t.s + {at} AS INT) AS s, CAST(t.e + {at} AS INT) AS e))")
-    left = side.format(places=places(f"substring(text, greatest(b.s - {c}, 0) + 1, least(b.s, {c}))", TERM),
-                       whole=f"t.s > 0 OR b.s <= {c}", at=f"greatest(b.s - {c}, 0)")
-    right = side.format(places=places(f"substring(text, b.e + 1, {c})", TERM), whole=f"t.e < {c}", at="b.e")
-    free = "NOT exists(base, o -> t.s < o.e AND t.e > o.s)"
-    return f"filter(flatten(transform(base, b -> concat({left}, {right}))), t -> {free})"
+#: The text with a blank for every code point of a match: terms are looked for outside of matches, at the same offsets.
+_MASKED = """aggregate(base, named_struct('p', 0, 'o', ''),
+ (a, x) -> CASE WHEN x.e <= a.p THEN a ELSE named_struct('p', x.e, 'o', concat(
+   a.o, substring(text, a.p + 1, greatest(x.s - a.p, 0)), repeat(' ', x.e - greatest(x.s, a.p)))) END,
+ a -> concat(a.o, substring(text, a.p + 1, length(text))))"""
+
+
+def _terms(text: str) -> str:
+    """SQL for the distinct terms of the SQL string text, in lower case."""
+    runs = f"regexp_extract_all({text}, {_quoted(TERM)}, 0)"
+    pairs = (f"CASE WHEN rlike({text}, {_quoted(_CJK)}) THEN regexp_extract_all({text}, {_quoted(BIGRAM)}, 1) "
+             f"ELSE CAST(array() AS array<string>) END")
+    return f"array_distinct(transform(array_distinct(concat({runs}, {pairs})), t -> lower(t)))"
+
+
+def _marked(text: str, rules: str) -> str:
+    """SQL for the places (s, k, e, part) of the terms in the map rules, in one pass over the pieces of a text; only
+    places that a rule names are gathered."""
+    none = "CAST(array() AS array<struct<s:int,k:int,e:int,part:double>>)"
+    hit = "array(named_struct('s', {s}, 'k', 4, 'e', {s} + {n}, 'part', {rules}[lower({m})]))"
+    run = hit.format(s="a.p + length(ps[i])", n="length(ms[i])", m="ms[i]", rules=rules)
+    runs = f"""transform(array(regexp_extract_all({text}, {_quoted(TERM)}, 0)), ms ->
+ transform(array(split({text}, {_quoted(TERM)}, -1)), ps ->
+  aggregate(CASE WHEN size(ms) = 0 THEN CAST(array() AS array<int>) ELSE sequence(0, size(ms) - 1) END,
+   named_struct('p', 0, 'o', {none}),
+   (a, i) -> named_struct('p', a.p + length(ps[i]) + length(ms[i]),
+     'o', CASE WHEN map_contains_key({rules}, lower(ms[i])) THEN concat(a.o, {run}) ELSE a.o END),
+   a -> a.o))[0])[0]"""
+    pair = hit.format(s="a.p", n="2", m="concat(ps[i], substring(ps[i + 1], 1, 1))", rules=rules)
+    # Cut before every pair and inside every run, a pair is a piece of one such character and the first of the next piece.
+    pairs = f"""transform(array(split({text}, {_quoted(f'(?={_CJK}{{2}})|(?<={_CJK})(?={_CJK})')}, -1)), ps ->
+  aggregate(sequence(0, size(ps) - 1), named_struct('p', 0, 'o', {none}),
+   (a, i) -> named_struct('p', a.p + length(ps[i]),
+     'o', CASE WHEN i + 1 < size(ps) AND rlike(ps[i], {_quoted('^' + _CJK + '$')})
+               AND rlike(ps[i + 1], {_quoted('^' + _CJK)})
+               AND map_contains_key({rules}, lower(concat(ps[i], substring(ps[i + 1], 1, 1))))
+               THEN concat(a.o, {pair}) ELSE a.o END),
+   a -> a.o))[0]"""
+    return (f"array_sort(array_distinct(concat({runs}, CASE WHEN rlike({text}, {_quoted(_CJK + '{2}')}) THEN {pairs} "
+            f"ELSE {none} END)))")
 
 
 def base_table(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """doc_id, key, base spans in order, and the terms around them; one narrow row per document."""
+    """doc_id, key, base spans in order, and, only where there are spans, the text without them."""
     d = docs.select("doc_id", C.row_key(F.col("doc_id"), F.col("text")).alias("key"), C.whole("text").alias("text"))
     kinds = [_of_kind("email", EMAIL, "@"), _of_kind("ip", IP, "."), _of_kind("card", CARD, None),
              _of_kind("phone", PHONE, "+")]
     d = d.withColumn("base", F.expr(f"array_sort(concat({', '.join(kinds)}))"))
-    return d.select("doc_id", "key", "base", F.expr(
-        f"CASE WHEN size(base) = 0 THEN CAST(array() AS array<struct<entity:bigint,term:string,s:int,e:int>>) "
-        f"ELSE {_context(policy)} END").alias("near"))
+    return d.select("doc_id", "key", "base", F.expr(f"CASE WHEN size(base) > 0 THEN {_MASKED} END").alias("masked"))
 
 
 def disclosures(docs: DataFrame, base: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(entity, term, part): terms that give away at least ``disclose`` of an entity's information."""
+    """(key, term, part): terms of a document that give away at least ``disclose`` of the information of one of its entities.
+
+    With N documents, part >= d means n_t <= n_et (N / n_e)^(1 - d), and n_et <= n_e, so a term in more than
+    n_e^d N^(1 - d) documents discloses no entity of n_e documents. Such pairs are left out before they are counted;
+    no pair that could disclose is.
+    """
     n = base.select("key").distinct().count()
-    mentions = base.where("size(base) > 0").select("key", F.explode("base.entity").alias("entity"))
-    entities = mentions.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = (base.where("size(near) > 0").select("key", F.explode("near").alias("t"))
-             .select("key", "t.entity", "t.term").distinct()
-             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")))
-    pairs = C.materialize(pairs, "pairs")
-    terms = C.materialize(pairs.select("term").distinct(), "terms")
-    words = (docs.select(C.row_key(F.col("doc_id"), F.col("text")).alias("key"), F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(C.whole("text")), F.lit(TERM), F.lit(0)))).alias("term")))
-    # Counted before the join: what the join makes is one row per candidate, however many terms become candidates.
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term")
-    log2 = lambda c: F.log2(c.cast("double"))
     known = F.lit(float(max(n, 1)))
-    return (pairs.join(entities, "entity").join(counts, "term").where(F.col("n_e") < known)
-            .withColumn("part", log2(F.col("n_et") * known / (F.col("n_e") * F.greatest("n_t", "n_et")))
-                        / log2(known / F.col("n_e")))
-            .where(F.col("part") >= policy.disclose).select("entity", "term", "part"))
+    with_spans = base.where("masked IS NOT NULL")
+    mentions = with_spans.select("key", F.explode(F.array_distinct("base.entity")).alias("entity")).distinct()
+    entities = C.materialize(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+                             .where(F.col("n_e") < known), "entities")
+    # A hair above the bound, for rounding.
+    most = F.pow(F.col("n_e").cast("double"), F.lit(policy.disclose)) * F.pow(known, F.lit(1 - policy.disclose)) * 1.000001
+    held = C.sized_join(mentions, entities.withColumn("most", most), "entity", "inner")
+    held = held.groupBy("key").agg(F.collect_list(F.struct("entity", "n_e", "most")).alias("held"), F.max("most").alias("top"))
+    top = entities.agg(F.coalesce(F.max(most), F.lit(0.0))).first()[0]
+    words = docs.select(F.explode(F.expr(_terms("coalesce(text, '')"))).alias("term"))
+    # Counted before the join. Terms of so many documents that a join would deal them to one task, and that disclose
+    # nothing, are few (at most a thousand times the terms of a document) and taken out by a broadcast.
+    counts = C.materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "counts")
+    hot = counts.where((F.col("n_t") > top) & (F.col("n_t") * 1000 > known)).select("term")
+    own = with_spans.groupBy("key").agg(F.first("masked").alias("masked")).join(held, "key")
+    own = own.select("key", "held", "top", F.explode(F.expr(_terms("masked"))).alias("term"))
+    own = C.sized_join(own, hot, "term", "left_anti")
+    own = C.sized_join(own, counts.where(F.col("n_t") <= top), "term", "inner").where("n_t <= top")
+    pairs = C.materialize(own.select("key", "term", "n_t", F.explode(F.expr("filter(held, x -> n_t <= x.most)")).alias("x"))
+                          .select("key", "term", "n_t", "x.entity", "x.n_e"), "pairs")
+    log2 = lambda c: F.log2(c.cast("double"))
+    rules = (pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_t").alias("n_t"),
+                                                 F.first("n_e").alias("n_e"))
+             .withColumn("part", log2(F.col("n_et") * known / (F.col("n_e") * F.greatest("n_t", "n_et")))
+                         / log2(known / F.col("n_e")))
+             .where(F.col("part") >= policy.disclose).select("entity", "term", "part"))
+    rules = C.materialize(rules, "rules")
+    return (C.sized_join(pairs.select("key", "entity", "term"), rules, ["entity", "term"], "inner")
+            .groupBy("key", "term").agg(F.max("part").alias("part")))
 
 
 def find(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """doc_id, key, base spans and added terms (s, k, e, part), no text."""
     base = C.materialize(base_table(docs, policy), "pii")
-    rules = C.materialize(disclosures(docs, base, policy), "rules")
-    added = (base.where("size(near) > 0").select("key", F.explode("near").alias("t"))
-             .select("key", "t.entity", "t.term", "t.s", "t.e").distinct().join(rules, ["entity", "term"])
-             .groupBy("key", "s", "e").agg(F.max("part").alias("part"))
-             .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", "part"))).alias("terms")))
+    rules = (disclosures(docs, base, policy).groupBy("key")
+             .agg(F.map_from_entries(F.collect_list(F.struct("term", "part"))).alias("rules")))
+    added = (base.where("masked IS NOT NULL").groupBy("key").agg(F.first("masked").alias("masked")).join(rules, "key")
+             .select("key", F.expr(_marked("masked", "rules")).alias("terms")))
     return base.select("doc_id", "key", "base").join(added, "key", "left").select(
         "doc_id", "key", "base", F.coalesce("terms", F.expr(
             "CAST(array() AS array<struct<s:int,k:int,e:int,part:double>>)")).alias("terms"))
