@@ -3,7 +3,8 @@
 A candidate is a maximal run of at least ``window`` characters that keys are written in. A window slides over it; the
 counts of its characters change by one in and one out, and with them sum(c log2 c), from which the Shannon entropy
 follows. Windows whose entropy exceeds the limit of the candidate's character class form spans, unless the allow-list
-knows the candidate or the window is all letters or all digits. Spans that a base match covers are not added.
+knows the candidate, the window meets a series or placeholder, less than half of it lies outside the word-like segments
+of a path, or it is all letters or all digits. Spans that a base match covers are not added.
 
 Cases: a null text is empty (no spans); empty texts and tables give no spans and no rows; every repeated row gets its
 own row; a null doc_id is carried; other columns are ignored; texts are scanned whole.
@@ -13,8 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -44,11 +46,13 @@ class EntropyPolicy:
     window: int = 20
     #: Bits a character, by class of the candidate; a window of 20 different characters has 4.32.
     limits: dict = field(default_factory=lambda: {"hex": 3.1, "alnum": 3.6, "base64": 3.8})
-    #: Candidates never reported: identifiers, paths, series and placeholders.
-    allow: tuple[str, ...] = (
-        r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r".*(?:0123456789|abcdefghij|ABCDEFGHIJ).*", r"(.)\1*",
-        r"[/A-Za-z_-]*/[/A-Za-z0-9_-]*/[/A-Za-z0-9_-]*", r".*(?:[Ee]xample|EXAMPLE|placeholder|xxxx|XXXX).*",
-        r"[=_-]+.*[=_-]{8,}")
+    #: Candidates never reported: identifiers, one character, rules.
+    allow: tuple[str, ...] = (r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"(.)\1*", r"[=_-]+.*[=_-]{8,}")
+    #: Series and placeholders: windows that overlap one are not reported, the rest of the candidate is judged.
+    marks: str = r"0123456789|abcdefghij|ABCDEFGHIJ|[Ee]xample|EXAMPLE|placeholder|x{4,}|X{4,}"
+    #: Paths, and their segments that are words (camel case, joined by - or _, with up to four digits behind).
+    path: str = r"[/A-Za-z_-]*/[/A-Za-z0-9_-]*/[/A-Za-z0-9_-]*"
+    word: str = "{0}(?:[_-]+{0})*".format(r"(?:[A-Z]+|[A-Z][a-z]|[a-z]*(?:[A-Z][a-z]{2,})*)[0-9]{0,4}")
 
 
 _XLOG = [0.0, *(c * log2(c) for c in range(1, 4097))]
@@ -60,8 +64,9 @@ def char_class(s: str) -> str:
     return "alnum" if s.isalnum() else "base64"
 
 
-def entropy_spans(s: str, policy: EntropyPolicy = EntropyPolicy()) -> list[tuple[int, int]]:
-    """Maximal stretches of s covered by windows above the limit of its class."""
+def entropy_spans(s: str, policy: EntropyPolicy = EntropyPolicy(),
+                  quiet: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Maximal stretches of s covered by windows above the limit of its class; windows that are quiet do not count."""
     w, limit = policy.window, policy.limits[char_class(s)]
     counts: dict[str, int] = {}
     total, letters, digits = 0.0, 0, 0
@@ -79,7 +84,8 @@ def entropy_spans(s: str, policy: EntropyPolicy = EntropyPolicy()) -> list[tuple
             counts[out] = n - 1
             letters -= out.isalpha()
             digits -= out.isdigit()
-        if i >= w - 1 and letters and digits and log2(w) - total / w > limit:
+        if i >= w - 1 and letters and digits and log2(w) - total / w > limit and not (
+                quiet and quiet(i - w + 1, i + 1)):
             if spans and i - w + 1 <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -105,6 +111,20 @@ class Scanner:
         self.candidate = re.compile(CANDIDATE % policy.window)
         self.allow = re.compile("|".join(f"(?:{p.replace(chr(92) + '1', '(?P=same)').replace('(.)', '(?P<same>.)')})"
                                          for p in policy.allow)) if policy.allow else None
+        self.marks, self.path, self.word = re.compile(policy.marks), re.compile(policy.path), re.compile(policy.word)
+
+    def quiet(self, s: str) -> Callable[[int, int], bool] | None:
+        """Whether the window [a, b) of s is not to be reported; None if any may be."""
+        marks = [m.span() for m in self.marks.finditer(s)]
+        odd = None
+        if self.path.fullmatch(s):
+            odd = [0]
+            for part in re.split("(/)", s):
+                odd += [0 if part == "/" or self.word.fullmatch(part) else 1] * len(part)
+            odd = list(accumulate(odd))
+        if not marks and odd is None:
+            return None
+        return lambda a, b: any(a < y and x < b for x, y in marks) or (odd is not None and 2 * (odd[b] - odd[a]) < b - a)
 
     def scan(self, text: str) -> tuple[list, list]:
         """Base spans, and all spans."""
@@ -114,7 +134,7 @@ class Scanner:
             s = m[0]
             if s.isalpha() or s.isdigit() or (self.allow and self.allow.fullmatch(s)):
                 continue
-            for a, b in entropy_spans(s, self.policy):
+            for a, b in entropy_spans(s, self.policy, self.quiet(s)):
                 a, b = a + m.start(), b + m.start()
                 if not any(x <= a and b <= y for x, y, _ in base):
                     extra.append((a, b, 3))
