@@ -24,3 +24,15 @@ def test_keys_in_paths_and_beside_placeholders():
     scanner = secret_scan.Scanner()
     paths = [k for k in keys if scanner.path.fullmatch(k)]
     assert len(paths) > 100 and sum(bool(reported(k)) for k in paths) > 0.95 * len(paths)
+
+
+def test_glued_and_short_keys_are_judged_by_their_own_class():
+    rng = random.Random(7)
+    for n in (32, 40, 64):
+        for glue in ("sig=", "key-", "a/b_"):
+            keys = ["".join(rng.choices("0123456789ABCDEF", k=n)) for _ in range(300)]
+            alone = sum(bool(reported(k)) for k in keys)
+            assert sum(bool(reported(glue + k)) for k in keys) >= alone > 270
+    for n in (16, 17, 18, 19):
+        keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=n)) for _ in range(300)]
+        assert sum(reported(f"see {k}.") == [k] for k in keys) > 200

@@ -1,6 +1,8 @@
 """Secret scan: fixed credential patterns, and high-entropy windows inside candidate strings.
 
-A candidate is a maximal run of at least ``window`` characters that keys are written in. A window slides over it; the
+A candidate is a maximal run of at least ``shortest`` characters that keys are written in; it is judged whole and, if it
+holds '=', '-', '_', '/' or '+', by its stretches of letters and digits too, each by the limit of its own class, so that
+what a key is glued to does not raise its limit. A window slides over it (below ``window`` characters, one window); the
 counts of its characters change by one in and one out, and with them sum(c log2 c), from which the Shannon entropy
 follows. Windows whose entropy exceeds the limit of the candidate's character class form spans, unless the allow-list
 knows the candidate, the window meets a series or placeholder, less than half of it lies outside the word-like segments
@@ -44,6 +46,8 @@ _HINTS = ("passw", "secret", "token", "key")
 @dataclass(frozen=True)
 class EntropyPolicy:
     window: int = 20
+    #: Runs from here to the window's length are judged as one window.
+    shortest: int = 16
     #: Bits a character, by class of the candidate; a window of 20 different characters has 4.32.
     limits: dict = field(default_factory=lambda: {"hex": 3.1, "alnum": 3.6, "base64": 3.8})
     #: Candidates never reported: identifiers, one character, rules.
@@ -67,7 +71,7 @@ def char_class(s: str) -> str:
 def entropy_spans(s: str, policy: EntropyPolicy = EntropyPolicy(),
                   quiet: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Maximal stretches of s covered by windows above the limit of its class; windows that are quiet do not count."""
-    w, limit = policy.window, policy.limits[char_class(s)]
+    w, limit = min(policy.window, max(len(s), policy.shortest)), policy.limits[char_class(s)]
     counts: dict[str, int] = {}
     total, letters, digits = 0.0, 0, 0
     spans: list[tuple[int, int]] = []
@@ -93,6 +97,17 @@ def entropy_spans(s: str, policy: EntropyPolicy = EntropyPolicy(),
     return spans
 
 
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places in spans that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind's place in KINDS) of the fixed patterns, code points."""
     found = []
@@ -108,7 +123,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Scanner:
     def __init__(self, policy: EntropyPolicy = EntropyPolicy()):
         self.policy = policy
-        self.candidate = re.compile(CANDIDATE % policy.window)
+        self.candidate = re.compile(CANDIDATE % policy.shortest)
+        self.stretch = re.compile("[A-Za-z0-9]{%d,}" % policy.shortest)
         self.allow = re.compile("|".join(f"(?:{p.replace(chr(92) + '1', '(?P=same)').replace('(.)', '(?P<same>.)')})"
                                          for p in policy.allow)) if policy.allow else None
         self.marks, self.path, self.word = re.compile(policy.marks), re.compile(policy.path), re.compile(policy.word)
@@ -134,7 +150,14 @@ class Scanner:
             s = m[0]
             if s.isalpha() or s.isdigit() or (self.allow and self.allow.fullmatch(s)):
                 continue
-            for a, b in entropy_spans(s, self.policy, self.quiet(s)):
+            quiet = self.quiet(s)
+            found = entropy_spans(s, self.policy, quiet)
+            for part in self.stretch.finditer(s):
+                if part[0] != s and not (self.allow and self.allow.fullmatch(part[0])):
+                    at = part.start()
+                    inner = quiet and (lambda a, b, at=at: quiet(a + at, b + at))
+                    found += [(a + at, b + at) for a, b in entropy_spans(part[0], self.policy, inner)]
+            for a, b in united(found):
                 a, b = a + m.start(), b + m.start()
                 if not any(x <= a and b <= y for x, y, _ in base):
                     extra.append((a, b, 3))
