@@ -3,9 +3,9 @@
 A source's target is its share by weight of all words, never above ``max_repeat`` times its own size; what is above
 is shared again by weight among the others until none is above. Every document first gets the whole copies that its
 source's target is certain to hold. The rest of the target is a sample without repeats: document i has the inclusion
-chance p_i (the rest's part of the source, shaped by an optional weight column), a uniform u_i from a hash of its id,
-and the Pareto rank q_i = (u_i / (1 - u_i)) / (p_i / (1 - p_i)). Documents are taken by rising q until the words
-taken are as near to the target as whole documents allow.
+chance p_i, a uniform u_i from a hash of its id, source and text, and the Pareto rank
+q_i = (u_i / (1 - u_i)) / (p_i / (1 - p_i)). Documents are taken by rising q until the words taken are as near to the target as whole documents allow. The chances are equal within a source (p_i is the rest's part
+of the source), so there the order is that of u_i; chances per document, by size or by a weight, are not supported.
 
 The cut is found without ordering a source in one task: q / (1 + q) is cut into 256 bins three times over (each time
 inside the bin where the target falls), partial sums combine before the shuffle, and only the rows of the last bin
