@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +73,31 @@ def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, rows: int |
     """Join with ``small`` (written already), broadcast only if its counted rows are within the bound."""
     n = small.count() if rows is None else rows
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first columns (as many as keys, long, never null): the rows of one key after the other, each
+    column in one chunk. One group is in memory at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.Table:
+        return pa.Table.from_batches(held).combine_chunks()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        values = [b.column(k).to_numpy() for k in range(keys)]
+        if held and any(held[-1].column(k)[-1].as_py() != values[k][0] for k in range(keys)):
+            yield whole()
+            held = []
+        new = np.zeros(b.num_rows - 1, bool)
+        for v in values:
+            new |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            held.append(b.slice(s, e - s))
+            if e < b.num_rows:
+                yield whole()
+                held = []
+    if held:
+        yield whole()
