@@ -33,8 +33,31 @@ def words(text: Column) -> Column:
 
 
 def row_key(*columns: Column) -> Column:
-    """A key equal for equal rows only, nulls included; it names a row without an order over the table."""
-    return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns])
+    """A key of 128 bits (two hashes) for equal rows, nulls told apart from every text; it names a row without an order
+    over the table."""
+    parts = [x for c in columns for x in (c.isNull(), c.cast("string"))]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("h"), F.xxhash64(F.lit(2), *parts).alias("i"))
+
+
+KEY = "struct<h:bigint,i:bigint>"
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, for columns that are added for a while."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def once(keyed: DataFrame, repeated: DataFrame, key: str = "key") -> DataFrame:
+    """One row of each key. Only the rows of the keys in ``repeated`` (key), which has all that repeat, are shuffled."""
+    if not repeated.limit(1).count():
+        return keyed
+    many = sized_join(keyed, repeated, key, "left_semi").dropDuplicates([key])
+    return sized_join(keyed, repeated, key, "left_anti").unionByName(many)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,7 +89,7 @@ def input_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 #: Rows (narrow: a key, at most a few spans) that a join may broadcast. Above it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, rows: int | None = None) -> DataFrame:

@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
                                                  ["doc_id", "key", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", C.row_key(F.col("doc_id"), F.col("text")).alias("key"), "text").mapInArrow(run, _PIECES)
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, _PIECES)
 
 
 def patterns(classes: int) -> np.ndarray:

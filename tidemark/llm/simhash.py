@@ -55,7 +55,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, key, fp) of every row, from whole texts."""
     d = docs.select("doc_id", C.row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("binary"))
-    return d.mapInArrow(_fingerprints, "doc_id long, key long, fp long")
+    return d.mapInArrow(_fingerprints, f"doc_id long, key {C.KEY}, fp long")
 
 
 def _cooccurrence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,6 +99,21 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
+#: Fingerprints from which candidates are estimated; they decide what is probed, never what is found.
+SAMPLE = 2048
+
+
+def sampled_near(sample: np.ndarray, group: list[int], radius: int) -> np.ndarray:
+    """The share of pairs of a sample that differ in at most 0, 1 ... radius bits of a group: projections of whole
+    fingerprints, so that bits which go together count as they do."""
+    x = sample.view(np.uint64) & np.uint64(sum(1 << b for b in group))
+    found = np.zeros(65, np.int64)
+    for s in range(0, len(x), 256):
+        found += np.bincount(np.bitwise_count(x[s:s + 256, None] ^ x[None, :]).ravel(), minlength=65)
+    found[0] -= len(x)  # each with itself
+    return np.cumsum(found)[:radius + 1] / max(1, len(x) * (len(x) - 1))
+
+
 def _near(q: np.ndarray, t: int) -> float:
     """Chance that two fingerprints differ in at most t of the bits that each agree with chance q."""
     d = np.zeros(t + 2)
@@ -110,9 +125,10 @@ def _near(q: np.ndarray, t: int) -> float:
     return float(d[:t + 1].sum())
 
 
-def allocate(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+def allocate(n: int, both: np.ndarray, radius: int = RADIUS, sample: np.ndarray = np.zeros(0, "<i8")) -> list[tuple[list[int], int]]:
     """The partitions to probe with their thresholds: for each number of partitions a dynamic program over
-    estimated cost (probe rows, and candidate pairs from the bits' measured frequencies), then the cheapest."""
+    estimated cost (probe rows and candidate pairs), then the cheapest. Candidates are counted on the sample's projections;
+    what is too rare to show there is estimated from the bits' frequencies, as if they were independent."""
     p = np.diag(both) / max(n, 1)
     q = p * p + (1 - p) ** 2
     best: tuple[float, list] = (inf, [])
@@ -121,10 +137,11 @@ def allocate(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[
         table = {0: (0.0, [])}
         for g in groups:
             after: dict = {}
+            share = sampled_near(sample, g, radius)
             for used, (cost, chosen) in table.items():
                 for t in range(-1, radius - used + 1):
                     rows = n * comb(len(g), t) if t >= 0 else 0
-                    pairs = n * n / 2 * _near(q[g], t) * max(1, comb(len(g), max(t, 0))) if t >= 0 else 0
+                    pairs = n * n / 2 * max(share[t], _near(q[g], t)) * max(1, comb(len(g), max(t, 0))) if t >= 0 else 0
                     x = cost + rows + 0.05 * pairs
                     if used + t + 1 not in after or x < after[used + t + 1][0]:
                         after[used + t + 1] = (x, [*chosen, (g, t)])
@@ -213,7 +230,9 @@ def linked_pairs(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET
     """Edges (a, b) between distinct fingerprints that join exactly what links at ``radius`` or fewer bits join."""
     spark = distinct.sparkSession
     n, both = bit_statistics(distinct)
-    masks = probe_masks(allocate(n, both, radius)) if n else [0]
+    some = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    sample = np.array([r.fp for r in some], dtype="<i8")
+    masks = probe_masks(allocate(n, both, radius, sample)) if n else [0]
     keyed = lambda df: df.withColumn("k", F.col("fp").bitwiseAND(F.col("m")))
     work = keyed(distinct.select(F.explode(F.array(*[F.lit(m) for m in masks])).alias("m"), "fp"))
     found = None
@@ -254,12 +273,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
     nameless = found.where("component_id IS NULL").groupBy("fp").agg(F.min("key").alias("key")).select("key")
     stay = (found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id")
             .agg(F.min("key").alias("key")).select("key").union(nameless))
-    gone = C.materialize(found.select("key").distinct().join(stay, "key", "left_anti").select(F.col("key").alias("__key")), "gone")
-    keyed = docs.withColumn("__key", C.row_key(F.col("doc_id"), F.col("text")))
-    out = C.sized_join(keyed, gone, "__key", "left_anti")
-    if found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):  # rows that repeat as a whole
-        out = out.dropDuplicates(["__key"])
-    return out.drop("__key")
+    key, = C.free(docs, "__key")
+    gone = C.materialize(found.select("key").distinct().join(stay, "key", "left_anti").select(F.col("key").alias(key)), "gone")
+    out = C.sized_join(docs.withColumn(key, C.row_key(F.col("doc_id"), F.col("text"))), gone, key, "left_anti")
+    # Rows that repeat as a whole.
+    repeated = found.groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    return C.once(out, C.materialize(repeated, "repeated"), key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
