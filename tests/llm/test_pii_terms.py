@@ -57,3 +57,46 @@ def test_disclosing_terms_against_counts(spark):
                       if any((e, m[0]) in rule for e in held[i])) for i, t in rows}
     spans, _ = found(spark, rows)
     assert rule and spans == want
+
+
+def test_random_corpora_against_counts(spark):
+    """Counts, PMI over information content and marks by plain Python, over corpora with repeated rows and shared entities."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        words = rng.choices(["alpha", "beta", "gamma", "delta", "Eps", "zeta1", "eta"] + [f"r{i % 11}q", f"s{i % 37}", f"only{i}"], k=rng.randint(3, 14))
+        mails = [f"m{rng.randint(0, 25)}@corp.com" for _ in range(rng.choice([0, 0, 1, 1, 2, 3]))]
+        mixed = words + mails
+        rng.shuffle(mixed)
+        rows.append((i, " ".join(mixed)))
+    rows += [rows[3], rows[3], rows[7]]
+    of = dict(rows)
+    held = {i: {x.lower() for x in t.split() if "@" in x} for i, t in of.items()}
+    terms = {i: {x.lower() for x in t.split() if "@" not in x} for i, t in of.items()}
+    every = {i: {w for x in t.split() for w in re.findall(r"\w{2,}", x.lower())} for i, t in of.items()}
+    n_t, n_e = Counter(w for x in every.values() for w in x), Counter(e for x in held.values() for e in x)
+    n_et = Counter((e, w) for i in of for e in held[i] for w in terms[i])
+    n = len(of)
+    rule = {k for k, c in n_et.items() if n_e[k[0]] < n
+            and log2(c * n / (n_e[k[0]] * max(n_t[k[1]], c))) / log2(n / n_e[k[0]]) >= pii.Policy().disclose - 1e-12}
+    want = {}
+    for i, t in of.items():
+        want[i] = [m.span() for m in re.finditer(r"\S+", t) if "@" not in m[0] and any((e, m[0].lower()) in rule for e in held[i])]
+    spans, text = found(spark, rows)
+    assert rule and spans == want
+    assert all("@" not in t and not any(f" {w} " in f" {t.lower()} " for e in held[i] for w in terms[i] if (e, w) in rule)
+               for i, t in text.items())
+
+
+def test_long_texts(spark):
+    domain = "x" + ".y" * 1500
+    many = " ".join(f"u{i}ser 10.{i % 200}.{i // 200 % 250}.7 é" for i in range(20_000))
+    spans, text = found(spark, [(0, f"to a@{domain} now"), (1, many), (2, "plain text here")])
+    base = {r.doc_id: r.base for r in pii.base_table(spark.createDataFrame(
+        [(0, f"to a@{domain} now"), (1, many)], "doc_id long, text string")).collect()}
+    assert [(x.s, x.e) for x in base[0]] == [(3, 5 + len(domain))]
+    assert [(x.s, x.e) for x in base[1]] == [m.span() for m in re.finditer(r"10[.][0-9]+[.][0-9]+[.]7", many)]
+    assert text[0].endswith("[EMAIL] ") or "[EMAIL]" in text[0]
+    assert text[1].count("[IP]") == 20_000 and text[1].count("é") == 20_000 and text[2] == "plain text here"
