@@ -2,9 +2,11 @@
 
 :func:`write` appends one gzip member per page to archive files in the shared folder: a response with the payload, or
 a revisit that refers to the response with an equal payload. File names are unique to a task attempt and only those in
-the written manifest count, so a lost or repeated task leaves no record twice. :func:`read` parses the archives and
-turns each into a capture run sorted by URL key, time and id. :func:`merge` ranges the runs over key intervals and
-merges the slices of an interval with a loser tree, which yields the histories in one global order.
+the written manifest count, so a lost or repeated task leaves no record twice (what such an attempt left stays in the
+folder unread). :func:`read` parses the archives, :func:`runs` sorts the captures of a group of archives by URL key, time
+and id (Spark's sort, which spills) and writes each group as a run file of small blocks with an index row per block.
+:func:`merge` cuts the index into key intervals; the task of an interval opens every run at the block where the interval
+begins and merges the streams with a loser tree, one block per run in memory. The histories come in one global order.
 
 Cases: null html is an empty payload; a null url is the empty URL; pages without an id are responses only where no
 page with an id has their payload; rows that repeat the smallest id and its payload are all responses; an empty table
@@ -14,7 +16,9 @@ gives no archive and an empty result; other columns are ignored. Line breaks in
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -23,7 +27,7 @@ from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -164,39 +168,78 @@ _CAPTURE = ("page_id long, url_key string, captured_at string, payload_bytes lon
 _COLUMNS = [x.split()[0] for x in _CAPTURE.split(", ")]
 
 
-def _order(r: dict) -> tuple:
-    return r["url_key"].encode(), r["captured_at"], r["page_id"] is not None, r["page_id"] or 0
+_ORDER = ["url_key", "captured_at", "page_id"]
 
 
-def _batches(rows: Iterable[dict], types: list, columns: list[str], size: int = 4096) -> Iterator[pa.RecordBatch]:
-    part: list[dict] = []
-    for r in rows:
-        part.append(r)
-        if len(part) == size:
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], t) for c, t in zip(columns, types)], columns)
-            part = []
-    if part:
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], t) for c, t in zip(columns, types)], columns)
+def _order(r: tuple) -> tuple:
+    """Of a capture as a tuple of _COLUMNS; as Spark sorts by _ORDER, nulls first."""
+    return r[1].encode(), r[2], r[0] is not None, r[0] or 0
+
+
+def _batch(rows: list[tuple], types: list, columns: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], columns)
+
+
+def _batches(rows: Iterable[tuple], size: int = 4096) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, size)):
+        yield _batch(part, _TYPES, _COLUMNS)
 
 
 _TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """Captures of every archive of the manifest, each archive a sorted run."""
+    """Captures of every archive of the manifest. Archives are dealt to as many tasks as there are archives, above 512 to one
+    for each 16 of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _filesystem(folder)
         for b in batches:
             for path, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with fs.open_input_stream(path, compression=None) as stream:
-                    rows = [parse(raw) | {"run": path, "offset": at} for at, raw in members(stream)]
-                if len(rows) != n:
-                    raise ValueError(f"{path} has {len(rows)} records, the manifest {n}")
-                yield from _batches(sorted(rows, key=_order), _TYPES, _COLUMNS)
+                seen = 0
+
+                def captures():
+                    nonlocal seen
+                    with fs.open_input_stream(path, compression=None) as stream:
+                        for at, raw in members(stream):
+                            seen += 1
+                            yield tuple((parse(raw) | {"run": path, "offset": at})[c] for c in _COLUMNS)
+
+                yield from _batches(captures())
+                if seen != n:
+                    raise ValueError(f"{path} has {seen} records, the manifest {n}")
+
+    n = manifest.count()
+    return manifest.repartition(max(1, min(n, 512), n // 16), "path").mapInArrow(run, _CAPTURE)
 
-    # A number of partitions of its own: archives are large, however small the manifest is.
-    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(run, _CAPTURE)
+
+#: Captures in a block of a run file: what a merge holds of each run.
+BLOCK_ROWS = 256
+_INDEX = "run_file string, block int, url_key string, captured_at string, page_id long, captures int"
+_SCHEMA = pa.schema(list(zip(_COLUMNS, _TYPES)))
+
+
+def runs(captures: DataFrame, folder: str) -> DataFrame:
+    """Write every partition of captures as one sorted run file; returns its index, itself written: the first key of each
+    block. Files are unique to a task attempt and only those of the index count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _filesystem(folder)
+        fs.create_dir(top)
+        name, index = f"{top}/{uuid.uuid4().hex}.arrow", []
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        first = next(rows, None)
+        if first is None:
+            return
+        with fs.open_output_stream(name, compression=None) as out, pa.ipc.new_file(out, _SCHEMA) as file:
+            for block in _batches(itertools.chain([first], rows), BLOCK_ROWS):
+                file.write_batch(block)
+                index.append((name, len(index), *(block.column(c)[0].as_py() for c in _ORDER), block.num_rows))
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32()]
+        yield _batch(index, kinds, [x.split()[0] for x in _INDEX.split(", ")])
+
+    return C.materialize(captures.sortWithinPartitions(*_ORDER).mapInArrow(run, _INDEX), "index")
 
 
 class LoserTree:
@@ -235,25 +278,69 @@ class LoserTree:
             self._play(w)
 
 
-def merge(captures: DataFrame) -> DataFrame:
-    """All captures in the order of URL key, time and id: partitions are key intervals, in order."""
+#: Captures of an interval, about.
+INTERVAL_ROWS = 200_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list] = {}
+
+def merge(index: DataFrame, folder: str) -> DataFrame:
+    """All captures of the indexed runs in the order of URL key, time and id: partitions are key intervals, in order. Only
+    the intervals' first keys, one for each task, reach the driver."""
+    spark = index.sparkSession
+    n = index.agg(F.coalesce(F.sum("captures"), F.lit(0))).first()[0]
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // INTERVAL_ROWS)
+    firsts = (index.select(*_ORDER).repartitionByRange(pieces, *_ORDER).groupBy(F.spark_partition_id().alias("p"))
+              .agg(F.min(F.struct(*_ORDER)).alias("x")).select("x.*").collect())
+    cuts = sorted(_order((r.page_id, r.url_key, r.captured_at)) for r in firsts)
+    # A block may reach to the first key of the next one of its run.
+    after = Window.partitionBy("run_file").orderBy("block")
+    spans = index.select("run_file", "block", *_ORDER, *[F.lead(c).over(after).alias(f"next_{c}") for c in _ORDER],
+                         F.lead("block").over(after).alias("next"))
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                runs.setdefault(r["run"], []).append(r)
-        yield from _batches(LoserTree([iter(x) for x in runs.values()], _order), _TYPES, _COLUMNS)
+            rows = []
+            for path, block, url, at, page, url2, at2, page2, more in zip(*(c.to_pylist() for c in b.columns)):
+                low = max(0, bisect.bisect_right(cuts, _order((page, url, at))) - 1)
+                high = len(cuts) - 1 if more is None else max(0, bisect.bisect_right(cuts, _order((page2, url2, at2))) - 1)
+                rows += [(i, path, block) for i in range(low, high + 1)]
+            if rows:
+                yield _batch(rows, [pa.int64(), pa.string(), pa.int32()], ["interval", "run_file", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = _filesystem(folder)
+        for t in C.sorted_groups(batches, 1):
+            i = t.column("interval")[0].as_py()
+            low, high = cuts[i] if i else None, cuts[i + 1] if i + 1 < len(cuts) else None
+
+            def stream(path: str, blocks: list[int]) -> Iterator[tuple]:
+                with fs.open_input_file(path) as file:
+                    reader = pa.ipc.open_file(file)
+                    for block in blocks:
+                        for r in zip(*(c.to_pylist() for c in reader.get_batch(block).columns)):
+                            key = _order(r)
+                            if high is not None and key >= high:
+                                return
+                            if low is None or key >= low:
+                                yield r
+
+            of: dict[str, list[int]] = {}
+            for path, block in zip(t.column("run_file").to_pylist(), t.column("block").to_pylist()):
+                of.setdefault(path, []).append(block)
+            yield from _batches(LoserTree([stream(p, x) for p, x in of.items()], _order))
+
+    found = spans.mapInArrow(locate, "interval long, run_file string, block int")
+    return (found.repartitionByRange(max(1, len(cuts)), "interval").sortWithinPartitions("interval", "run_file", "block")
+            .mapInArrow(run, _CAPTURE))
+
 
-    order = ["url_key", "captured_at", "page_id"]
-    return (captures.repartitionByRange(*order, "run").sortWithinPartitions("run", *order)
-            .select(*_COLUMNS).mapInArrow(run, _CAPTURE))
+def histories(pages: DataFrame, folder: str) -> DataFrame:
+    """Archives of the pages under folder, read back and merged into capture histories."""
+    return merge(runs(read(write(pages, folder), folder), f"{folder}/runs"), f"{folder}/runs")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = C.new_path(spark, "warc")
-    manifest = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return merge(C.materialize(read(manifest, folder), "captures")).select(
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return histories(pages, C.new_path(spark, "warc")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
 
 
