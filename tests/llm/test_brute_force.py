@@ -177,8 +177,12 @@ def test_pigeonhole_thresholds_cover_the_radius():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2, (500, 64)).astype(float)
     x[:, 1] = x[:, 0]
+    sample = np.packbits(x.astype(bool), axis=1, bitorder="little").view("<i8").ravel()
+    near = simhash.sampled_near(sample, [0, 1, 5], 2)
+    differ = np.array([[(a[[0, 1, 5]] != b[[0, 1, 5]]).sum() for b in x[:500]] for a in x[:500]])
+    assert near == pytest.approx([((differ <= t).sum() - 500) / (500 * 499) for t in range(3)])
     for n in (10, 10_000, 10**8):
-        plan = simhash.allocate(n, x.T @ x * n / 500)
+        plan = simhash.allocate(n, x.T @ x * n / 500, sample=sample)
         assert sum(t + 1 for _, t in plan) == simhash.RADIUS + 1
         assert len({b for g, _ in plan for b in g}) == sum(len(g) for g, _ in plan)
 
@@ -262,13 +266,46 @@ def test_mixture(docs, rows):
     assert mixed.count() == sum(r.copies for r in got)
 
 
-def test_warc(spark, small):
+def test_inclusion_frequencies_match_the_chances(spark):
+    """Every source holds the same documents and draws of its own, so sources stand for repeated draws."""
+    sizes, draws = [5, 7, 9, 12, 16, 20, 30, 45, 60, 80, 120, 200], 400
+    d = spark.createDataFrame([(i, "w " * n, f"s{k}") for k in range(draws) for i, n in enumerate(sizes)],
+                              "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    policy = mixing.MixPolicy(weights=(1.0,), weight="CASE WHEN doc_id = 3 THEN null ELSE power(size, 0.7) END", max_repeat=1.4)
+    got = mixing.mixture(d.drop("size"), policy).collect()
+    w = np.array([0 if i == 3 else n ** 0.7 for i, n in enumerate(sizes)])
+    full = np.zeros(len(sizes), bool)
+    while True:  # the level, plainly
+        level = (sum(sizes) - 1.4 * np.dot(full, sizes)) / np.dot(w * ~full, sizes)
+        if not (new := (level * w >= 1.4) & ~full).any():
+            break
+        full |= new
+    want = np.where(full, 1.4, level * w)
+    assert full.any() and ((want % 1 > 0.05) & (want % 1 < 0.95)).sum() > 6
+    mean, words = np.zeros(len(sizes)), Counter()
+    for r in got:
+        assert r.chance == pytest.approx(want[r.doc_id], abs=1e-5) and np.floor(r.chance) <= r.copies <= np.ceil(r.chance)
+        mean[r.doc_id] += r.copies / draws
+    assert np.abs(mean - want).max() < 0.09
+
+
+def test_mixture_takes_rows_with_clashing_columns(spark):
+    d = spark.createDataFrame([(i, "w " * (i + 1), "s") for i in range(9)], "doc_id long, text string, source string")
+    for c in ("__key", "__all", "__n", "__KEY_", "size", "x"):
+        d = d.withColumn(c, F.lit(1))
+    assert mixing.take(d).columns == d.columns and mixing.take(d).count() > 0
+
+
+@pytest.mark.parametrize("rows", [warc.BLOCK_ROWS, 3])
+def test_warc(spark, small, rows, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_ROWS", rows)
     p = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html")
     more = spark.createDataFrame([(500, "http://a.com/x y\n", None), (501, None, ""), (502, "http://a.com/é", "é\r\n\r\nz"),
-                                  (499, "http://b.com:8080/?q#f", "é\r\n\r\nz"), (None, "http://n.com", "nobody")], p.schema)
-    p = p.union(more).withColumn("key", F.lit(1))
+                                  (499, "http://b.com:8080/?q#f", "é\r\n\r\nz"), (None, "http://n.com", "nobody"),
+                                  (None, "http://n.com", "nobody"), (600, "http://long.org/", "long é " * 400_000)], p.schema)
+    p = p.union(more).union(more.limit(2)).withColumn("key", F.lit(1))
     folder = warc.C.new_path(spark, "warc")
-    got = warc.merge(warc.read(warc.write(p, folder), folder)).collect()
+    got = warc.histories(p, folder).collect()
     want, rows = [], [(r.page_id, (r.html or "").encode()) for r in p.collect()]
     first = {}
     for i, h in rows:
@@ -326,7 +363,53 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model, "doc_id").collect())
 
 
+def test_toxicity_scores_equal_a_plain_network(spark):
+    rng = np.random.default_rng(8)
+    words = ["good", "kind", "day", "vile", "awful", "Straße", "ok"]
+    data = [(i, " ".join(rng.choice(words[:3] + words[5:], 6)) + (" vile awful" if i % 3 == 0 else ""), int(i % 3 == 0), "en" if i % 2 else None)
+            for i in range(60)]
+    model = toxicity.train([x[1] for x in data], [x[2] for x in data], [x[3] for x in data])
+    p = model.policy
+    texts = [(1, "vile day"), (2, None), (3, "  "), (4, "good " * 30_000 + "vile awful day"), (5, "Straße"), (5, "Straße"), (None, "awful")]
+
+    def plain(text):
+        found = re.findall(r"\w+", (text or "").lower())
+        x = [model.emb[list(toxicity.features(w, p.buckets))].mean(axis=0) for w in found] + [np.zeros(p.dim, np.float32)] * 2
+        top = [max(sum(x[i + j] @ model.conv[k][j][:, f] for j in range(w) if i + j < len(x)) + model.bias[k][f] for i in range(len(x)))
+               for k, w in enumerate(p.widths) for f in range(p.filters)]
+        raw = float(np.maximum(top, 0) @ model.out + model.out_bias)
+        return 1 / (1 + np.exp(-np.clip(model.scale[0] * raw + model.scale[1], -30, 30)))
+
+    d = spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = toxicity.score(d, model, "doc_id").collect()
+    assert [r.doc_id for r in got] == [x[0] for x in texts]
+    for r, (_, t) in zip(got, texts):
+        assert r.score == pytest.approx(plain(t if t is None or len(t) < 1000 else "good good good vile awful day"), abs=1e-4)
+    assert plain("vile awful") > 0.5 > plain("good day")
+
+
+def test_toxicity_of_few_and_odd_labels(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["bad x", "good", None, "bad y", "fine", "w " * 50_000])],
+                                 "doc_id long, text string, lang string")
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    ids = [i for i in range(6) if zlib.crc32(str(i).encode()) % 3 != 1]
+    one = toxicity.fit(docs, labels([(i, 0, 1) for i in ids] + [(None, 0, 0), (ids[0], 0, None)]))
+    assert one.constant == 1.0 and toxicity.fit(docs, labels([])).constant == 0.0
+    few = toxicity.fit(docs, labels([(i, 0, i % 2) for i in ids] * 2))
+    assert few.constant is None and toxicity.score(docs, few, "doc_id").count() == 6
+    long = spark.createDataFrame([(i, "w " * 50_000, "en") for i in range(40)], docs.schema)
+    some = toxicity.fit(long, labels([(i, 0, i % 2) for i in range(40)]), toxicity.Policy(fit_chars=150_000, epochs=1))
+    assert some.constant is None
+    flagged = toxicity.flag(docs.withColumn("lang", F.lit(None).cast("string")), few)
+    assert flagged.count() == 6 and flagged.where("toxic IS NULL").count() == 0
+
+
 def test_empty_tables(docs, spark):
+    from tidemark.llm import quality, suffix_dedup
+
+    assert quality.verdicts(docs.limit(0)).count() == 0 and suffix_dedup.removed(docs.limit(0)).count() == 0
+    none_ = toxicity.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.flag(docs.limit(0), none_).count() == 0
     none = docs.limit(0)
     assert secret_scan.scan(none).count() == 0
     assert simhash.duplicates(none).count() == 0
@@ -336,7 +419,7 @@ def test_empty_tables(docs, spark):
     assert cover_tree.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     folder = warc.C.new_path(spark, "warc")
     empty = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.merge(warc.read(warc.write(empty, folder), folder)).count() == 0
+    assert warc.histories(empty, folder).count() == 0
 
 
 def brute_repeats(texts, length):
@@ -358,6 +441,7 @@ def test_suffix_dedup(spark, docs, rows, together, monkeypatch):
     from tidemark.llm import suffix_dedup
 
     monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 50 if together == 1 else 1_000_000)
     rng = np.random.default_rng(5)
     passage = "".join(rng.choice(list("abcdefgh "), 350))
     extra = []
@@ -370,6 +454,7 @@ def test_suffix_dedup(spark, docs, rows, together, monkeypatch):
         extra.append((2000 + i, own + cut + more))
     extra += [(3000, "ab" * 500), (3001, "z" * 199), (3002, "z" * 199), (3003, "y" * 200), (3004, "y" * 200), (3005, "é" * 101)]
     d = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).repartition(3)
+    d = d.withColumn("key", F.lit("clash")).withColumn("spans", F.lit("clash")).withColumn("kind", F.lit(1))
     every = [(i, t) for i, t, _ in rows] + extra
     want = [(i, *x) for (i, _), x in zip(every, brute_repeats([(t or "").encode() for _, t in every], 200))]
     assert multiset(suffix_dedup.removed(d).collect()) == multiset(want)

@@ -41,6 +41,12 @@ PIECE = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
 _ROUND = "a long, f long, key long, s long, e long, kind int"
 _NAMES = ["a", "f", "key", "s", "e", "kind"]
+
+
+def _key():
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
+
+
 ONE, KNOWN, COVER = 0, 1, 2
 
 
@@ -124,11 +130,30 @@ def _first_round(length: int):
 
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one range of pairs, sorted: covers of what repeats (kind COVER), and one row for each pair of an anchor
-    that has several (KNOWN if the pair itself repeats, else ONE)."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    t = pa.Table.from_batches(rows)
+    that has several (KNOWN if the pair itself repeats, else ONE). Stretches of about CHUNK rows are in memory at a time;
+    they end between pairs (of a pair there is one row for each task of the first round at most)."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < CHUNK:
+            continue
+        t = pa.Table.from_batches(held)
+        a, f = t.column("a").to_numpy(), t.column("f").to_numpy()
+        cut = int(np.argmax((a == a[-1]) & (f == f[-1])))  # where the last pair begins
+        if cut:
+            yield from _ranked_rows(t.slice(0, cut))
+            held, n = t.slice(cut).to_batches(), n - cut
+    if held:
+        yield from _ranked_rows(pa.Table.from_batches(held))
+
+
+CHUNK = 1_000_000
+
+
+def _ranked_rows(t: pa.Table) -> Iterator[pa.RecordBatch]:
     a, f, key, s, e, kind = (t.column(c).to_numpy() for c in _NAMES)
     done = kind == COVER
     ck, cs, ce = key[done], s[done], e[done]
@@ -142,7 +167,7 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.flatnonzero(first)
         ga = a[own]
         several = np.r_[False, ga[1:] == ga[:-1]] | np.r_[ga[1:] == ga[:-1], False]
-        several[0] = several[-1] = True  # the anchor may go on in the next range
+        several[0] = several[-1] = True  # the anchor may go on in the next range or stretch of rows
         own = own[several]
         yield _batch(a[own], f[own], key[own], s[own], e[own], np.where(many[own], KNOWN, ONE))
     ck, cs, ce = merged(ck, cs, ce)
@@ -236,12 +261,12 @@ def _tidy(spark: SparkSession) -> None:
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, s, e): bytes of each distinct row that a repeated string of ``length`` bytes covers; ranges may overlap."""
     spark = docs.sparkSession
-    texts = docs.select(C.row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(_key().alias("key"), F.col("text").cast("binary").alias("text"))
     one = C.materialize(_ranked(texts.mapInArrow(_first_round(length), _ROUND)), "round1")
     _tidy(spark)
     left = one.where(F.col("kind") != COVER)
     hot = left.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER).select("a", F.lit(True).alias("hot"))
-    todo = (left.join(hot, "a", "left").groupBy("key").agg(F.collect_set(F.struct(
+    todo = (C.sized_join(left, C.materialize(hot, "hot"), "a", "left").groupBy("key").agg(F.collect_set(F.struct(
         "a", "f", "s", "e", "kind", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("todo")))
     # Equal rows have one key and need their bytes once each; what they share is in round 1 already.
     named = texts.join(todo, "key").select("key", "text", "todo")
@@ -281,7 +306,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Digest columns of every row after the removal."""
     spans = repeats(docs, length).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    d = docs.select("doc_id", F.col("text").cast("binary").alias("text"), C.row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    d = docs.select("doc_id", F.col("text").cast("binary").alias("text"), _key().alias("key"))
     return d.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_cut, _OUT)
 
 
