@@ -130,3 +130,8 @@ def concentration_movement(before: DataFrame, after: DataFrame, *keys) -> DataFr
     b, a = before.select(*keys, F.lit(1).alias("b")), after.select(*keys, F.lit(1).alias("a"))
     return b.join(a, list(keys), "full_outer").where("a IS NULL OR b IS NULL").select(
         *keys, F.when(F.col("b").isNull(), "introduced").otherwise("dissolved").alias("movement"))
+
+
+def base_side(changes: DataFrame) -> DataFrame:
+    """The changes of the base: without the commits that the change under review made itself."""
+    return changes.where(~F.coalesce("made_by_change", F.lit(False)))

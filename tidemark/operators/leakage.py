@@ -37,22 +37,23 @@ def leakage(pairs: DataFrame, imports: DataFrame, connections: DataFrame, files:
     return p.select("left", "right", "shared", "union", "distance", kind.alias("kind"), interface.alias("interface")).where("kind IS NOT NULL")
 
 
-def link_class(pairs: DataFrame, edges: DataFrame, hops: int = 8) -> DataFrame:
-    """direct, indirect or none for each pair of nodes, by paths of up to ``hops`` edges from the pairs' ends only."""
-    e = written(edges.select("src", "dst").distinct(), "edges")
-    ends = pairs.select(F.col("left").alias("from"), F.col("right").alias("to")).union(pairs.select("right", "left")).distinct()
-    found = frontier = written(ends.select("from", F.col("from").alias("at")).distinct(), "walk")
-    found = found.withColumn("steps", F.lit(0).cast("long"))
-    for n in range(1, hops + 1):
-        new = frontier.join(e, frontier.at == e.src).select("from", F.col("dst").alias("at")).distinct().join(
-            found, ["from", "at"], "left_anti")
+def link_class(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """left, right, link, steps, first_hop of each pair of nodes: direct, indirect (by the shortest path either way, forward
+    unless backward is shorter, named by its first hop, of several paths the smallest) or none. A search from the pairs'
+    ends that goes on until nothing new is found, whatever the length of the path."""
+    e = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    ends = pairs.select(F.col("left").alias("from")).union(pairs.select("right")).distinct()
+    frontier = written(ends.join(e, ends["from"] == e.src).select("from", F.col("dst").alias("at"), F.col("dst").alias("hop")), "walk")
+    found, n = frontier.withColumn("steps", F.lit(1).cast("long")), 1
+    while frontier.take(1):
+        n += 1
+        new = (frontier.join(e, frontier.at == e.src).where(F.col("dst") != F.col("from")).groupBy("from", F.col("dst").alias("at"))
+               .agg(F.min("hop").alias("hop")).join(found, ["from", "at"], "left_anti"))
         frontier = written(new, "walk")
-        if not frontier.take(1):
-            break
-        found = found.union(frontier.withColumn("steps", F.lit(n).cast("long")))
-    s = found.select(F.col("from").alias("left"), F.col("at").alias("right"), F.col("steps").alias("there"))
-    t = found.select(F.col("from").alias("right"), F.col("at").alias("left"), F.col("steps").alias("back"))
-    j = pairs.join(s, ["left", "right"], "left").join(t, ["left", "right"], "left")
-    best = F.least("there", "back")
-    return j.select("left", "right", F.when(best == 1, "direct").when(best > 1, "indirect").otherwise("none").alias("link"),
-                    F.coalesce(best, F.lit(0)).alias("steps"))
+        found = written(found.union(frontier.withColumn("steps", F.lit(n).cast("long"))), "found")
+    side = lambda a, b, name: found.select(F.col("from").alias(a), F.col("at").alias(b), F.struct("steps", "hop").alias(name))
+    j = pairs.join(side("left", "right", "there"), ["left", "right"], "left").join(side("right", "left", "back"), ["left", "right"], "left")
+    best = F.when(F.col("there").isNull() | (F.col("back.steps") < F.col("there.steps")), F.col("back")).otherwise(F.col("there"))
+    j = j.withColumn("best", best)
+    return j.select("left", "right", F.when(F.col("best.steps") == 1, "direct").when(F.col("best.steps") > 1, "indirect").otherwise("none").alias("link"),
+                    F.coalesce("best.steps", F.lit(0)).alias("steps"), F.when(F.col("best.steps") > 1, F.col("best.hop")).alias("first_hop"))

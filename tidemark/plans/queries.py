@@ -331,16 +331,33 @@ def change_leakage(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leakage(history.file_coupling(c, _LOOSE), imports, imports, files, _LEAK).select("left", "right", "shared", "kind", "interface")
 
 
-@query(f"""{_with_closure(B.nation_edges_sql(200))}, pairs AS (SELECT a.n_nationkey::BIGINT AS "left", b.n_nationkey::BIGINT AS "right" FROM nation a JOIN nation b
-  ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)
-SELECT "left", "right", CASE WHEN EXISTS (SELECT 1 FROM edges WHERE (src = "left" AND dst = "right") OR (src = "right" AND dst = "left")) THEN 'direct'
-  WHEN EXISTS (SELECT 1 FROM reach WHERE (src = "left" AND dst = "right") OR (src = "right" AND dst = "left")) THEN 'indirect' ELSE 'none' END AS link FROM pairs""")
+_LINKS = """w(src, dst, d) AS (SELECT src, dst, 1::BIGINT FROM edges UNION SELECT w.src, e.dst, d + 1 FROM w JOIN edges e ON w.dst = e.src WHERE d < {most}),
+far AS (SELECT src, dst, min(d) AS d FROM w WHERE src <> dst GROUP BY 1, 2),
+both_ AS (SELECT "left", "right", f.d AS there, b.d AS back FROM pairs LEFT JOIN far f ON f.src = "left" AND f.dst = "right" LEFT JOIN far b ON b.src = "right" AND b.dst = "left"),
+way AS (SELECT *, there IS NULL OR coalesce(back < there, false) AS turned FROM both_),
+best AS (SELECT *, CASE WHEN turned THEN back ELSE there END AS steps, CASE WHEN turned THEN "right" ELSE "left" END AS a, CASE WHEN turned THEN "left" ELSE "right" END AS b FROM way)
+SELECT "left", "right", CASE WHEN steps = 1 THEN 'direct' WHEN steps > 1 THEN 'indirect' ELSE 'none' END AS link, coalesce(steps, 0) AS steps,
+  CASE WHEN steps > 1 THEN (SELECT min(e.dst) FROM edges e JOIN far f ON f.src = e.dst AND f.dst = best.b WHERE e.src = best.a AND f.d = best.steps - 1) END AS first_hop FROM best"""
+
+
+@query(f"""WITH RECURSIVE {B.nation_edges_sql(200)}, pairs AS (SELECT a.n_nationkey::BIGINT AS "left", b.n_nationkey::BIGINT AS "right" FROM nation a JOIN nation b
+  ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey), {_LINKS.format(most=25)}""")
 def link_classes(spark: SparkSession, sf: str) -> DataFrame:
     n = B.table(spark, sf, "nation")
     a = n.select(F.col("n_nationkey").cast("long").alias("left"), "n_regionkey")
     b = n.select(F.col("n_nationkey").cast("long").alias("right"), "n_regionkey")
-    return leakage.link_class(a.join(b, "n_regionkey").where("left < right").select("left", "right"),
-                              B.nation_edges(spark, sf, 200), hops=30).select("left", "right", "link")
+    return leakage.link_class(a.join(b, "n_regionkey").where("left < right").select("left", "right"), B.nation_edges(spark, sf, 200))
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT n_nationkey::BIGINT AS k, (n_nationkey * 7 % 25)::BIGINT AS other FROM nation),
+edges AS (SELECT k AS src, k + 1 AS dst FROM n WHERE k < 24 UNION SELECT k, k - 6 FROM n WHERE k % 12 = 11),
+pairs AS (SELECT least(k, other) AS "left", greatest(k, other) AS "right" FROM n WHERE k <> other GROUP BY ALL), {_LINKS.format(most=25)}""")
+def long_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Link classes over a chain of nations with a few ways back: paths of up to two dozen edges."""
+    n = B.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"), (F.col("n_nationkey") * 7 % 25).cast("long").alias("other"))
+    edges = n.where("k < 24").select(F.col("k").alias("src"), (F.col("k") + 1).alias("dst")).union(n.where("k % 12 = 11").select("k", F.col("k") - 6))
+    pairs = n.where("k <> other").select(F.least("k", "other").alias("left"), F.greatest("k", "other").alias("right")).distinct()
+    return leakage.link_class(pairs, edges)
 
 
 @query("""WITH f AS (SELECT p_partkey, 'lib/' || p_brand || '/' || CASE WHEN p_partkey % 40 = 0 THEN 'index.js' ELSE 'p' || p_partkey || '.js' END AS path FROM part),
@@ -732,15 +749,16 @@ def reference_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.unique_match(refs.select("ref_id").distinct(), c, files)
 
 
-@query("""WITH packs AS (SELECT 'pkg' || p_size AS manifest_name, p_brand AS package FROM part WHERE p_partkey % 11 = 0),
-refs AS (SELECT l_orderkey * 8 + l_linenumber AS ref_id, 'pkg' || (l_partkey % 60) AS first FROM lineitem), ids AS (SELECT DISTINCT ref_id, first FROM refs),
+@query("""WITH packs AS (SELECT 'pkg' || (p_partkey * 2 // 3) AS manifest_name, p_brand AS package FROM part),
+refs AS (SELECT l_orderkey * 8 + l_linenumber AS ref_id, CASE WHEN l_tax > 0.06 THEN 'npm' ELSE 'pkg' END || (l_partkey * 2 // 3) AS first FROM lineitem), ids AS (SELECT DISTINCT ref_id, first FROM refs),
 n AS (SELECT manifest_name AS first, count(DISTINCT package) AS n, min(package) AS package FROM packs GROUP BY 1)
 SELECT ref_id, CASE WHEN n IS NULL THEN 'external' WHEN n > 1 THEN 'ambiguous' ELSE 'package' END AS outcome, CASE WHEN n = 1 THEN package END AS package FROM ids LEFT JOIN n USING (first)""")
 def manifest_resolution(spark: SparkSession, sf: str) -> DataFrame:
     p, li = B.table(spark, sf, "part"), B.table(spark, sf, "lineitem")
-    packs = p.where("p_partkey % 11 = 0").select(F.concat(F.lit("pkg"), "p_size").alias("manifest_name"), F.col("p_brand").alias("package"))
+    packs = p.select(F.concat(F.lit("pkg"), F.expr("p_partkey * 2 div 3")).alias("manifest_name"), F.col("p_brand").alias("package"))
     refs = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ref_id"),
-                     F.concat(F.lit("pkg"), (F.col("l_partkey") % 60).cast("string"), F.lit("/sub")).alias("target")).distinct()
+                     F.concat(F.when(F.col("l_tax") > 0.06, "npm").otherwise("pkg"), F.expr("CAST(l_partkey * 2 div 3 AS STRING)"),
+                              F.lit("/sub")).alias("target")).distinct()
     return resolution.manifest_match(refs, packs)
 
 
@@ -751,6 +769,9 @@ def event_hotspots_stream(spark: SparkSession, sf: str) -> DataFrame:
     return daily_changes(spark, f"{sf}/events.parquet")
 
 
+from . import architecture, cards  # noqa: E402, F401  (they add their queries)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -53,6 +53,8 @@ class GraphPolicy:
     closure_min: int = 20
     closure_max: int = 4096
     reach_total: int = 20
+    package_total: int = 3
+    package_reached: int = 2
     reach_candidates: int = 64
     reach_degree: int = 8
     core_files: int = 5
