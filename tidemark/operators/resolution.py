@@ -89,3 +89,76 @@ def python_match(references: DataFrame, files: DataFrame) -> DataFrame:
     return r.join(best, "ref_id", "left").select(
         "ref_id", F.when(F.col("m").isNull(), F.when(F.col("relative"), "unresolved").otherwise("external"))
         .when(F.col("m.n") > 1, "ambiguous").otherwise("resolved").alias("outcome"), F.when(F.col("m.n") == 1, F.col("m.file")).alias("file"))
+
+
+#: Endings that a script's relative target may leave out, tried in this order.
+SCRIPT_ENDINGS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts", "vue")
+
+
+def script_match(references: DataFrame, files: DataFrame) -> DataFrame:
+    """Relative targets of scripts (ref_id, directory, target): the file itself, what its runtime extension stands for, the
+    name with an ending, the folder's index, the first of these kinds that has a file."""
+    exact = relative_candidates(references)
+    ends = F.array(*[F.lit(f".{e}") for e in SCRIPT_ENDINGS])
+    longer = exact.select("ref_id", F.explode(F.transform(ends, lambda e: F.concat("candidate", e))).alias("candidate"), F.lit(2))
+    index = exact.select("ref_id", F.explode(F.transform(ends, lambda e: F.concat(F.col("candidate"), F.lit("/index"), e))).alias("candidate"), F.lit(3))
+    return unique_match(references.select("ref_id").distinct(), runtime_candidates(exact).union(longer).union(index).distinct(), files)
+
+
+def include_candidates(references: DataFrame) -> DataFrame:
+    """(ref_id, candidate, ordinal) of includes (ref_id, directory, target): beside the source, below the root, below include and src."""
+    places = F.array(F.concat_ws("/", "directory", "target"), F.col("target"), F.concat(F.lit("include/"), "target"), F.concat(F.lit("src/"), "target"))
+    return references.select("ref_id", F.posexplode(F.transform(places, clean)).alias("ordinal", "candidate")).where("candidate IS NOT NULL")
+
+
+def rust_candidates(references: DataFrame) -> DataFrame:
+    """(ref_id, candidate, ordinal) of paths (ref_id, path, target) that begin with crate, self or super. A file owns its
+    folder if it is mod, lib or main, else the folder of its name; the source root is the path up to the first src.
+    Segments are dropped from the end until a module is found; a module is a file or a folder's mod file."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.rs$", "")
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    own = F.when(name.isin("mod", "lib", "main"), folder).otherwise(F.concat_ws("/", F.when(folder != "", folder), name))
+    parent = F.regexp_replace(own, "/?[^/]*$", "")
+    root = F.regexp_extract("path", r"^((?:.*?/)?src)/", 1)
+    parts = F.split("target", "::")
+    up = F.size(F.filter(parts, lambda x: x == "super"))
+    base = F.when(parts[0] == "crate", root).when(parts[0] == "self", own).when(up == 1, parent).otherwise(F.regexp_replace(parent, "/?[^/]*$", ""))
+    rest = F.filter(parts, lambda x: ~x.isin("crate", "self", "super") & (x != ""))
+    r = references.where(parts[0].isin("crate", "self", "super")).select("ref_id", base.alias("base"), rest.alias("rest")).where("size(rest) > 0")
+    stems = F.transform(F.sequence(F.size("rest"), F.lit(1), F.lit(-1)), lambda k: F.concat_ws(
+        "/", F.when(F.col("base") != "", F.col("base")), F.array_join(F.slice("rest", 1, k), "/")))
+    both = F.flatten(F.transform(stems, lambda x: F.array(F.concat(x, F.lit(".rs")), F.concat(x, F.lit("/mod.rs")))))
+    return r.select("ref_id", F.posexplode(both).alias("ordinal", "candidate"))
+
+
+def java_candidates(references: DataFrame) -> DataFrame:
+    """(ref_id, candidate, ordinal) of qualified names (ref_id, path, target): below the source's own java folder, the usual
+    source folders and the root; a nested type's outer types follow."""
+    own = F.regexp_extract("path", r"^(.*?/java/)", 1)
+    parts = F.split(F.regexp_replace("target", r"\.\*$", ""), r"\.")
+    stems = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit(".java")))
+    roots = F.array(own, F.lit("src/main/java/"), F.lit("src/test/java/"), F.lit("src/"), F.lit(""))
+    every = F.flatten(F.transform(stems, lambda x: F.transform(roots, lambda r: F.concat(r, x))))
+    return references.select("ref_id", F.posexplode(every).alias("ordinal", "candidate"))
+
+
+def language_match(references: DataFrame, files: DataFrame) -> DataFrame:
+    """ref_id, outcome, file of imports (ref_id, path, language, module, name) by the rules of their language. A name
+    without a file is external; a relative target, a quoted include or a crate path without one is unresolved."""
+    directory = F.regexp_replace("path", "/?[^/]*$", "")
+    r = references.select("ref_id", "path", "language", directory.alias("directory"), F.col("module").alias("target"), "name", "module")
+    of = lambda *names: r.where(F.col("language").isin(*names))
+    scripts = of("javascript", "typescript").where(F.startswith("target", F.lit(".")))
+    script = script_match(scripts, files)
+    paths_ = of("c", "cpp", "rust", "java")
+    tried = (include_candidates(of("c", "cpp")).select("ref_id", "ordinal", "candidate")
+             .union(rust_candidates(of("rust")).select("ref_id", "ordinal", "candidate"))
+             .union(java_candidates(of("java")).select("ref_id", "ordinal", "candidate")))
+    local = F.col("target").rlike("^(crate|self|super)(::|$)")
+    ordered = ordered_match(paths_.select("ref_id", local.alias("local")), tried, files).join(
+        paths_.select("ref_id", local.alias("local")), "ref_id").select(
+        "ref_id", F.when((F.col("outcome") == "unresolved") & ~F.col("local"), "external").otherwise(F.col("outcome")).alias("outcome"), "path")
+    rest = r.where(~F.col("language").isin("c", "cpp", "rust", "java", "python")).join(scripts.select("ref_id"), "ref_id", "left_anti").select(
+        "ref_id", F.lit("external").alias("outcome"), F.lit(None).cast("string").alias("path"))
+    own = python_match(of("python").select("ref_id", "path", "module", "name"), files)
+    return own.union(script).union(ordered).union(rest).toDF("ref_id", "outcome", "file")

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths, python_units
+from ..functions import measure, paths, python_units
 from ..operators import diff, graph, history, ratings, resolution
 from ..policy import TIERS
 from ..shared import written
@@ -16,23 +16,25 @@ from ..sources import baseline, config, git_history, inventory
 
 
 def analyze(spark: SparkSession, root: str, settings: config.Config | None = None) -> dict[str, DataFrame]:
-    """Tables of the report. Python sources are measured; history is there if the root is a repository."""
+    """Tables of the report. Sources of every measured language are read; history is there if the root is a repository."""
     settings = settings or config.load(root)
     files, packages = inventory.tables(spark, root, settings.excludes)
     explicit = F.coalesce(*[F.when(paths.glob(F.col("path"), p), F.lit(r)) for p, r in settings.roles.items()], F.lit(None).cast("string"))
     top = "file:" + os.path.abspath(root).rstrip("/") + "/"
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(sorted(measure.EXTENSIONS)) + "}").load(root)
            .select(F.substring(F.regexp_replace("path", "^file:/+", "file:/"), len(top) + 1, 1 << 20).alias("path"),
                    F.decode("content", "utf-8").alias("text")))
-    texts = raw.join(files.where("language = 'python'").select("path"), "path", "left_semi")
+    texts = written(raw.join(files.select("path"), "path", "left_semi"), "texts")
     marked = texts.select("path", python_units.generated(F.col("text")).alias("generated"), python_units.line_count(F.col("text")).alias("lines"))
     files = files.join(marked, "path", "left").withColumn(
         "role", paths.role(F.col("path"), explicit, F.coalesce("generated", F.lit(False)))).drop("generated")
-    files = written(files.withColumn("trust", F.lit("trusted")), "files")
+    files = files.join(measure.statuses(texts).select("path", "parse_status"), "path", "left")
+    files = written(files.withColumn("parse_status", F.coalesce("parse_status", F.lit("unsupported"))).withColumn(
+        "trust", F.when(F.col("parse_status") == "failed", "advisory").otherwise("trusted")), "files")
     about = files.select("path", "package", "role", "trust")
-    units = written(ratings.assess(python_units.measure(texts).join(about, "path"), settings.health), "units")
-    refs = written(python_units.references(texts).withColumn("ref_id", F.monotonically_increasing_id()), "refs")
-    found = refs.join(resolution.python_match(refs, files), "ref_id")
+    units = written(ratings.assess(measure.measure(texts).drop("language").join(about, "path"), settings.health), "units")
+    refs = written(measure.references(texts).withColumn("ref_id", F.monotonically_increasing_id()), "refs")
+    found = written(refs.join(resolution.language_match(refs, files), "ref_id"), "found")
     edges = written(found.where("outcome = 'resolved' AND path <> file").groupBy(F.col("path").alias("src"), F.col("file").alias("dst"))
                     .agg(F.count(F.lit(1)).alias("refs")), "edges")
     out = {
@@ -41,7 +43,7 @@ def analyze(spark: SparkSession, root: str, settings: config.Config | None = Non
         "dependency_coverage": found.groupBy("outcome").agg(F.count(F.lit(1)).alias("references")),
         "architecture_findings": graph.cycles(edges), "package_edges": graph.package_edges(
             edges, about.select(F.col("path").alias("node"), "package")),
-        "orphan_files": graph.orphans(files.where("language = 'python' AND role = 'primary'").select("path"), edges,
+        "orphan_files": graph.orphans(files.where("parse_status = 'parsed' AND role = 'primary'").select("path"), edges,
                                       files.limit(0).select("path")),
         "size_findings": ratings.size_findings(files.where("lines IS NOT NULL").select("path", "lines"), settings.health),
         "gate": gate_rows(units)}
