@@ -33,7 +33,8 @@ def contests(before: DataFrame, after: DataFrame, *keys) -> DataFrame:
 
 def match_units(before: DataFrame, after: DataFrame) -> DataFrame:
     """Pairs (before_uid, after_uid, pass): declared identity, anchor and fingerprint inside a file, then declared
-    identity and fingerprint across files. Units of contested declared names take no further part inside the file.
+    identity and fingerprint across files. Units of contested declared names take no further part; those of a contested
+    anchor wait for the fingerprint if every one of them has one.
 
     Columns: uid, path, declared, anchor, fingerprint.
     """
@@ -42,7 +43,11 @@ def match_units(before: DataFrame, after: DataFrame) -> DataFrame:
                        ("moved_declared", ("declared",)), ("moved_fingerprint", ("fingerprint",))):
         pairs, before, after = match_pass(before, after, *keys)
         if name in ("declared", "anchor"):
-            torn = written(contests(before, after, *keys).select(*keys), "torn")
+            torn = contests(before, after, *keys)
+            if name == "anchor":
+                bare = before.union(after).where("fingerprint IS NULL").select(*keys).distinct()
+                torn = torn.join(bare, list(keys), "left_semi")
+            torn = written(torn.select(*keys), "torn")
             before = before.join(torn, list(keys), "left_anti")
             after = after.join(torn, list(keys), "left_anti")
         before, after = written(before, "before"), written(after, "after")

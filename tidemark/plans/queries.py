@@ -260,11 +260,16 @@ def package_cycles(spark: SparkSession, sf: str) -> DataFrame:
         "component", "size", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query("")
+@query(f"""{_with_closure(_E)}, {_SCC}, inside AS (SELECT s.component, src, dst FROM edges JOIN scc s ON s.node = src JOIN scc t ON t.node = dst WHERE s.component = t.component AND src <> dst),
+walk(component, node, path, len) AS (SELECT component, dst, [src], 1 FROM inside WHERE dst > src UNION ALL SELECT w.component, i.dst, list_append(path, w.node), len + 1
+  FROM walk w JOIN inside i ON i.src = w.node AND i.component = w.component WHERE i.dst > path[1] AND NOT list_contains(path, i.dst) AND i.dst <> w.node AND len < 5),
+closed AS (SELECT w.component, list_append(path, node) AS path FROM walk w JOIN inside i ON i.src = w.node AND i.dst = path[1]),
+best AS (SELECT component, path, row_number() OVER (PARTITION BY component ORDER BY len(path), path) AS n FROM closed)
+SELECT component, array_to_string(path, ',') AS path FROM best WHERE n = 1""")
 def cycle_witnesses(spark: SparkSession, sf: str) -> DataFrame:
     e = graph.written(B.nation_edges(spark, sf), "nations")
     m = graph.cycles(e).select("component", F.explode("members").alias("node"))
-    return graph.witnesses(e, m)
+    return graph.witnesses(e, m).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ","))
 
 
 @query(f"""{_with_closure(_E)}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)
@@ -469,9 +474,31 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return d.where("uid % 2 = 0"), d.where("uid % 2 = 1")
 
 
-@query("")
+def _match_sql() -> str:
+    out = ["""u0 AS (SELECT doc_id AS uid, source AS path, concat_ws('-', lang, n_chars::VARCHAR) AS declared,
+  CASE WHEN lang = 'en' THEN lower(text) END AS anchor, text AS fingerprint FROM documents)""",
+           "b0 AS (SELECT * FROM u0 WHERE uid % 2 = 0), a0 AS (SELECT * FROM u0 WHERE uid % 2 = 1)"]
+    passes = (("declared", "path, declared"), ("anchor", "path, anchor"), ("fingerprint", "path, fingerprint"), ("moved_declared", "declared"),
+              ("moved_fingerprint", "fingerprint"))
+    for k, (name, keys) in enumerate(passes, 1):
+        known = " AND ".join(f"{c} IS NOT NULL" for c in keys.split(", "))
+        one = lambda side, known=known, keys=keys: f"(SELECT {keys}, min(uid) AS uid FROM {side} WHERE {known} GROUP BY ALL HAVING count(*) = 1)"
+        n = lambda side, c, known=known, keys=keys: f"(SELECT {keys}, count(*) AS {c}, count(*) - count(fingerprint) AS {c}0 FROM {side} WHERE {known} GROUP BY {keys})"
+        out.append(f"p{k} AS (SELECT x.uid AS before_uid, y.uid AS after_uid, '{name}' AS pass FROM {one(f'b{k - 1}')} x JOIN {one(f'a{k - 1}')} y USING ({keys}))")
+        for s, c in (("b", "before_uid"), ("a", "after_uid")):
+            out.append(f"{s}r{k} AS (SELECT * FROM {s}{k - 1} WHERE uid NOT IN (SELECT {c} FROM p{k}))")
+        if name in ("declared", "anchor"):
+            wait = " AND x0 + y0 > 0" if name == "anchor" else ""
+            out.append(f"t{k} AS (SELECT {keys} FROM {n(f'br{k}', 'x')} JOIN {n(f'ar{k}', 'y')} USING ({keys}) WHERE (x > 1 OR y > 1){wait})")
+            out += [f"{s}{k} AS (SELECT * FROM {s}r{k} ANTI JOIN t{k} USING ({keys}))" for s in "ba"]
+        else:
+            out += [f"{s}{k} AS (SELECT * FROM {s}r{k})" for s in "ba"]
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(1, 6))
+
+
+@query(_match_sql())
 def unit_matching(spark: SparkSession, sf: str) -> DataFrame:
-    return diff.match_units(*_sides(spark, sf)).withColumn("pass", F.col("pass"))
+    return diff.match_units(*_sides(spark, sf))
 
 
 _SIDES = """u AS (SELECT doc_id AS uid, source AS path, text AS fp FROM documents)"""
