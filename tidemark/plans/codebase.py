@@ -50,7 +50,7 @@ def analyze(spark: SparkSession, root: str, settings: config.Config | None = Non
     cycles = out["architecture_findings"].count()
     out["verdict"] = ratings.scope_tiers(out["health"].where("scope = '.'"), cycles)
     if os.path.exists(os.path.join(root, ".git")):
-        commits, changes = git_history.tables(spark, root, {r.path for r in files.select("path").collect()})
+        commits, changes, status = git_history.load(spark, root, {r.path for r in files.select("path").collect()})
         newest = commits.agg(F.max("ts").alias("newest"))
         changes = changes.join(commits.select("revision", "contributor", "ts"), "revision").crossJoin(F.broadcast(newest)).where(
             F.col("ts") >= F.col("newest") - settings.history.window_days * 86400)
@@ -62,7 +62,7 @@ def analyze(spark: SparkSession, root: str, settings: config.Config | None = Non
                 "change_coupling": history.package_coupling(changes, settings.history),
                 "file_change_coupling": history.file_coupling(changes, settings.history),
                 "hotspots": history.hotspots(changes.groupBy("path").agg(F.count(F.lit(1)).alias("touches")), rated, settings.history),
-                "history_coverage": history.coverage(changes)}
+                "history_coverage": history.coverage(changes), "history_status": status}
     return out
 
 
@@ -74,8 +74,7 @@ def gate(spark: SparkSession, root: str, path: str, update: bool = False) -> tup
     """Exit code and comparison: 0 without a regression, 3 with one, 2 for a baseline that breaks its format."""
     observed = analyze(spark, root)["gate"]
     if update:
-        with open(path, "w", newline="\n") as f:
-            f.write(baseline.render(observed))
+        baseline.write(observed, path)
         return 0, None
     try:
         before = baseline.read(spark, path)

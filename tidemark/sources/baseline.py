@@ -43,6 +43,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(parse(text), SCHEMA)
 
 
+def write(rows: DataFrame, path: str, version: str = VERSION) -> None:
+    """The baseline of a snapshot as one file, sorted and written by Spark: only the head and the name of the part file pass
+    through the driver."""
+    import glob
+    import os
+    import shutil
+    import tempfile
+
+    kept = rows.where((F.col("high") > 0) | (F.col("watch") > 0))
+    spark = rows.sparkSession
+    head = spark.createDataFrame([(0, version), (1, COLUMNS)], "part int, value string").select("part", F.lit("").alias("path"), F.lit("").alias("signal"), "value")
+    body = kept.select(F.lit(2).alias("part"), "path", "signal", F.concat_ws("\t", "path", "signal", F.col("high").cast("string"), F.col("watch").cast("string")).alias("value"))
+    folder = tempfile.mkdtemp(dir=os.path.dirname(os.path.abspath(path)))  # beside the file, which is local to the driver
+    try:
+        head.union(body).orderBy("part", "path", "signal").select("value").coalesce(1).write.mode("overwrite").text(f"file://{folder}/out")
+        os.replace(glob.glob(f"{folder}/out/part-*")[0], path)
+    finally:
+        shutil.rmtree(folder)
+
+
 def render(rows: DataFrame, version: str = VERSION) -> str:
     """The baseline of a snapshot: one row per path and signal, those without counts left out."""
     kept = rows.where((F.col("high") > 0) | (F.col("watch") > 0)).select("path", "signal", "high", "watch")
