@@ -36,3 +36,21 @@ def test_glued_and_short_keys_are_judged_by_their_own_class():
     for n in (16, 17, 18, 19):
         keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=n)) for _ in range(300)]
         assert sum(reported(f"see {k}.") == [k] for k in keys) > 200
+
+
+def test_long_texts_and_allow_rules_with_groups_of_their_own():
+    import time
+
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    keys = [key(32) for _ in range(20_000)]
+    text = " ".join(f"x {k} token = {k}" for k in keys)
+    began = time.time()
+    base, every = secret_scan.Scanner().scan(text)
+    assert time.time() - began < 60 and sum(k == 0 for _, _, k in base) == len(keys)
+    # Beside each base match stands the bare key; what a base match covers is not added again.
+    bare = [a for a, _, k in every if k == 3]
+    assert 0.9 * len(keys) < len(bare) <= 2 * len(keys) and not any(x <= a < y for a in bare[:50] for x, y, _ in base)
+    policy = secret_scan.EntropyPolicy(allow=(r"(.)(.).*\2\1", r"(ab)+\1.*"))
+    scanner = secret_scan.Scanner(policy)
+    assert scanner.allowed("xy12yx") and scanner.allowed("ababab9") and not scanner.allowed("xy12xy")

@@ -138,7 +138,8 @@ def patterns(classes: int) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Least squares with x >= 0 by an active set; a column joins while it lowers the residual."""
+    """Least squares with x >= 0 by an active set; a column joins while it lowers the residual. After ``rounds`` the fit so
+    far is taken: what it leaves over is packed as residual like the rest."""
     x, use = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     scale = max(1.0, float(np.abs(b).max()))
     for _ in range(rounds):

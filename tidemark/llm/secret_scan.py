@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -125,8 +126,7 @@ class Scanner:
         self.policy = policy
         self.candidate = re.compile(CANDIDATE % policy.shortest)
         self.stretch = re.compile("[A-Za-z0-9]{%d,}" % policy.shortest)
-        self.allow = re.compile("|".join(f"(?:{p.replace(chr(92) + '1', '(?P=same)').replace('(.)', '(?P<same>.)')})"
-                                         for p in policy.allow)) if policy.allow else None
+        self.allow = [re.compile(p) for p in policy.allow]  # one by one: each has its own groups
         self.marks, self.path, self.word = re.compile(policy.marks), re.compile(policy.path), re.compile(policy.word)
 
     def quiet(self, s: str) -> Callable[[int, int], bool] | None:
@@ -142,24 +142,29 @@ class Scanner:
             return None
         return lambda a, b: any(a < y and x < b for x, y in marks) or (odd is not None and 2 * (odd[b] - odd[a]) < b - a)
 
+    def allowed(self, s: str) -> bool:
+        return any(p.fullmatch(s) for p in self.allow)
+
     def scan(self, text: str) -> tuple[list, list]:
         """Base spans, and all spans."""
         base = base_spans(text)
+        starts, upto = [x for x, _, _ in base], list(accumulate((y for _, y, _ in base), max))
         extra = []
         for m in self.candidate.finditer(text):
             s = m[0]
-            if s.isalpha() or s.isdigit() or (self.allow and self.allow.fullmatch(s)):
+            if s.isalpha() or s.isdigit() or self.allowed(s):
                 continue
             quiet = self.quiet(s)
             found = entropy_spans(s, self.policy, quiet)
             for part in self.stretch.finditer(s):
-                if part[0] != s and not (self.allow and self.allow.fullmatch(part[0])):
+                if part[0] != s and not self.allowed(part[0]):
                     at = part.start()
                     inner = quiet and (lambda a, b, at=at: quiet(a + at, b + at))
                     found += [(a + at, b + at) for a, b in entropy_spans(part[0], self.policy, inner)]
             for a, b in united(found):
                 a, b = a + m.start(), b + m.start()
-                if not any(x <= a and b <= y for x, y, _ in base):
+                k = bisect_right(starts, a)
+                if not k or upto[k - 1] < b:
                     extra.append((a, b, 3))
         return base, sorted(base + extra, key=lambda x: (x[0], x[2]))
 
