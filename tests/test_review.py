@@ -73,3 +73,19 @@ def test_baseline_written_by_spark(spark, tmp_path):
     text = (tmp_path / "gate.tsv").read_text()
     assert text == baseline.render(rows) and len(baseline.parse(text)) == 3
     assert [x.name for x in tmp_path.iterdir()] == ["gate.tsv"]
+
+
+def test_commands_and_exit_codes(spark, repo, tmp_path, capsys):
+    from tidemark.plans import terminal
+
+    assert terminal.main(["report", str(repo)], spark) == 0
+    text = capsys.readouterr().out
+    assert "FINDINGS" in text and "b.py:2 calm" in text and "ARCHITECTURE" in text and "AREAS" in text
+    assert terminal.main(["diff", str(repo), "--json", f"{tmp_path}/out"], spark) == 0
+    assert capsys.readouterr().out.startswith("mixed: 1 worse, 1 better") and (tmp_path / "out/verdict").is_dir()
+    line = f"{tmp_path}/gate.tsv"
+    assert terminal.main(["gate", str(repo), "--baseline", line, "--update"], spark) == 0 and terminal.main(["gate", str(repo), "--baseline", line], spark) == 0
+    (tmp_path / "gate.tsv").write_text(f"{baseline.VERSION}\n{baseline.COLUMNS}\n")
+    assert terminal.main(["gate", str(repo), "--baseline", line], spark) == 3 and "regression b.py" in capsys.readouterr().out
+    assert terminal.main(["gate", str(repo)], spark) == 2 and terminal.main(["no"], spark) == 2
+    assert terminal.main(["diff", str(repo), "--base", "no-such-ref"], spark) == 1

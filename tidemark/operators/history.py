@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..policy import VERDICT_ROLES, HistoryPolicy
+from ..shared import written
 
 ROLE_ORDER = ("primary", "test", "example", "benchmark", "fixture", "generated", "vendored", "dormant")
 
@@ -90,10 +91,21 @@ def file_coupling(changes: DataFrame, policy: HistoryPolicy = HistoryPolicy()) -
     """Files of different directories that change together. Bulk commits are left out with their touches, which also
     bounds what one commit can add to the pairs."""
     graph = changes.where((F.col("role") == "primary") & (F.col("trust") == "trusted"))
-    members = graph.select("commit", "path").distinct()
-    small = members.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= policy.bulk_files)
-    members = members.join(small.select("commit"), "commit", "left_semi")
-    p = _pairs(members, "path", directory(F.col("left")) != directory(F.col("right")))
+    # Dealt by commit once: distinct files, their number and the list of a small commit need no other shuffle. The list ends
+    # one file beyond the bound, so a bulk commit is never gathered.
+    each = graph.select("commit", "path").repartition("commit").distinct()
+    nth = F.row_number().over(Window.partitionBy("commit").orderBy("path"))
+    lists = (each.withColumn("nth", nth).where(F.col("nth") <= policy.bulk_files + 1).groupBy("commit")
+             .agg(F.sort_array(F.collect_list("path")).alias("files")).where(F.size("files") <= policy.bulk_files).select("files"))
+    lists = written(lists, "commits")
+    touch = lists.select(F.explode("files").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("touches"))
+    two = F.flatten(F.transform("files", lambda x, i: F.transform(F.slice("files", i + 2, F.size("files")), lambda y: F.struct(x.alias("left"), y.alias("right")))))
+    shared = (lists.where("size(files) > 1").select(F.explode(two).alias("p")).select("p.left", "p.right")
+              .where(directory(F.col("left")) != directory(F.col("right"))).groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared")))
+    p = (shared.where(F.col("shared") >= policy.file_shared)
+         .join(touch.select(F.col("path").alias("left"), F.col("touches").alias("touch_left")), "left")
+         .join(touch.select(F.col("path").alias("right"), F.col("touches").alias("touch_right")), "right")
+         .withColumn("union", F.col("touch_left") + F.col("touch_right") - F.col("shared")))
     return (p.where((F.col("shared") >= policy.file_shared)
                     & (F.col("shared") * 1000 >= F.col("union") * policy.file_permille))
             .withColumn("distance", distance(directory(F.col("left")), directory(F.col("right")))))

@@ -95,10 +95,20 @@ def python_match(references: DataFrame, files: DataFrame) -> DataFrame:
 SCRIPT_ENDINGS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts", "vue")
 
 
-def script_match(references: DataFrame, files: DataFrame) -> DataFrame:
-    """Relative targets of scripts (ref_id, directory, target): the file itself, what its runtime extension stands for, the
-    name with an ending, the folder's index, the first of these kinds that has a file."""
-    exact = relative_candidates(references)
+def alias_candidates(references: DataFrame, rules: DataFrame) -> DataFrame:
+    """(ref_id, candidate) of references (ref_id, path, target) by the alias rules of the deepest rule package around them."""
+    from ..functions.paths import nearest_package
+
+    roots = rules.select("package").distinct()
+    own = nearest_package(references.select("path").distinct(), roots).select("path", "package")
+    found = expand_aliases(references.join(own, "path"), rules)
+    return found.select("ref_id", clean(F.col("candidate")).alias("candidate")).where("candidate IS NOT NULL").distinct()
+
+
+def script_match(references: DataFrame, files: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+    """Targets of scripts (ref_id, directory, target; exact: candidates other than the relative ones): the file itself, what
+    its runtime extension stands for, the name with an ending, the folder's index, the first of these kinds that has a file."""
+    exact = relative_candidates(references) if exact is None else exact
     ends = F.array(*[F.lit(f".{e}") for e in SCRIPT_ENDINGS])
     longer = exact.select("ref_id", F.explode(F.transform(ends, lambda e: F.concat("candidate", e))).alias("candidate"), F.lit(2))
     index = exact.select("ref_id", F.explode(F.transform(ends, lambda e: F.concat(F.col("candidate"), F.lit("/index"), e))).alias("candidate"), F.lit(3))
@@ -142,7 +152,7 @@ def java_candidates(references: DataFrame) -> DataFrame:
     return references.select("ref_id", F.posexplode(every).alias("ordinal", "candidate"))
 
 
-def language_match(references: DataFrame, files: DataFrame) -> DataFrame:
+def language_match(references: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """ref_id, outcome, file of imports (ref_id, path, language, module, name) by the rules of their language. A name
     without a file is external; a relative target, a quoted include or a crate path without one is unresolved."""
     directory = F.regexp_replace("path", "/?[^/]*$", "")
@@ -158,6 +168,11 @@ def language_match(references: DataFrame, files: DataFrame) -> DataFrame:
     ordered = ordered_match(paths_.select("ref_id", local.alias("local")), tried, files).join(
         paths_.select("ref_id", local.alias("local")), "ref_id").select(
         "ref_id", F.when((F.col("outcome") == "unresolved") & ~F.col("local"), "external").otherwise(F.col("outcome")).alias("outcome"), "path")
+    if aliases is not None:
+        other = of("javascript", "typescript").where(~F.startswith("target", F.lit(".")))
+        named = script_match(other.select("ref_id"), files, alias_candidates(other, aliases)).where("outcome <> 'unresolved'")
+        script = script.union(named)
+        scripts = scripts.select("ref_id").union(named.select("ref_id"))
     rest = r.where(~F.col("language").isin("c", "cpp", "rust", "java", "python")).join(scripts.select("ref_id"), "ref_id", "left_anti").select(
         "ref_id", F.lit("external").alias("outcome"), F.lit(None).cast("string").alias("path"))
     own = python_match(of("python").select("ref_id", "path", "module", "name"), files)

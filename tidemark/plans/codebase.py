@@ -34,7 +34,7 @@ def analyze(spark: SparkSession, root: str, settings: config.Config | None = Non
     about = files.select("path", "package", "role", "trust")
     units = written(ratings.assess(measure.measure(texts).drop("language").join(about, "path"), settings.health), "units")
     refs = written(measure.references(texts).withColumn("ref_id", F.monotonically_increasing_id()), "refs")
-    found = written(refs.join(resolution.language_match(refs, files), "ref_id"), "found")
+    found = written(refs.join(resolution.language_match(refs, files, aliases(spark, root, settings.excludes)), "ref_id"), "found")
     edges = written(found.where("outcome = 'resolved' AND path <> file").groupBy(F.col("path").alias("src"), F.col("file").alias("dst"))
                     .agg(F.count(F.lit(1)).alias("refs")), "edges")
     out = {
@@ -66,6 +66,18 @@ def analyze(spark: SparkSession, root: str, settings: config.Config | None = Non
     return out
 
 
+def aliases(spark: SparkSession, root: str, excludes: tuple[str, ...] = ()) -> DataFrame | None:
+    """Alias rules of every script configuration of the tree; one that cannot be read gives none."""
+    rules = []
+    for kind, p in inventory.walk(root, excludes):
+        if kind == "file" and os.path.basename(p) in ("tsconfig.json", "jsconfig.json"):
+            try:
+                rules += config.alias_rules(root, p)
+            except ValueError:
+                continue
+    return spark.createDataFrame(rules, "package string, prefix string, suffix string, replacement string") if rules else None
+
+
 def gate_rows(units: DataFrame) -> DataFrame:
     return ratings.gate_snapshot(units)
 

@@ -622,6 +622,7 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
         F.countDistinct(F.col("start_line") % 50).alias("fan_in"), F.count(F.lit(1)).alias("touches"))
     h = h.withColumn("sizes", (F.col("large") & (F.col("touches") % 3 == 0)).cast("long"))
     h = h.withColumn("hot", F.col("touches") >= 610).withColumn("followers", F.lit(0)).withColumn("reach", F.lit(None).cast("long"))
+    h = graph.written(h, "facts")  # read by the join and by the medians
     return h.join(problems.degree_medians(h), "package")
 
 

@@ -77,3 +77,8 @@ def analyze_diff(spark: SparkSession, root: str, base: str | None = None, health
             "relation_comparisons": graph.relation_changes(before_edges, after_edges), "cycle_comparisons": diff.cycle_changes(*cycles),
             "verdict": tally.withColumn("tier", diff.debt_tier(tally)),
             "change_revisions": spark.createDataFrame([(r,) for r in sorted(git_base.commits_ahead(root, revision))], "revision string")}
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{folder}/{name}")
