@@ -86,3 +86,13 @@ def screen(rows: DataFrame, order: list, top: int) -> DataFrame:
     lead = (F.col("nth") > 1).cast("int")
     return head.withColumn("lead", lead).orderBy("lead", *order).limit(top).withColumn(
         "place", F.row_number().over(Window.orderBy("lead", *order)).cast("long"))
+
+
+def suppressed(facts: DataFrame, current: DataFrame, base: DataFrame) -> DataFrame:
+    """By kind, comparisons (kind, package) that are withheld as a side's graph is not complete: in all, for the current
+    side, for the base side (both may hold)."""
+    mark = lambda d, n: d.select("package").distinct().withColumn(n, F.lit(True))
+    j = facts.join(mark(current, "c"), "package", "left").join(mark(base, "b"), "package", "left")
+    c, b = F.col("c").isNotNull(), F.col("b").isNotNull()
+    n = lambda x: F.sum(x.cast("long"))
+    return j.groupBy("kind").agg(n(c | b).alias("total"), n(c).alias("current"), n(b).alias("base"))

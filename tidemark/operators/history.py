@@ -147,3 +147,37 @@ def concentration_movement(before: DataFrame, after: DataFrame, *keys) -> DataFr
 def base_side(changes: DataFrame) -> DataFrame:
     """The changes of the base: without the commits that the change under review made itself."""
     return changes.where(~F.coalesce("made_by_change", F.lit(False)))
+
+
+def filled_churn(changes: DataFrame, files: DataFrame) -> DataFrame:
+    """Churn of every file (path, role, trust), zero where nothing changed it."""
+    c = churn(changes, "path", "role", "trust")
+    zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
+    return files.select("path", "role", "trust").join(c, ["path", "role", "trust"], "left").select(
+        "path", "role", "trust", *[zero(n) for n in ("added", "deleted", "uncounted", "commits")])
+
+
+def stream_counters(changes: DataFrame, start: Column, policy: HistoryPolicy = HistoryPolicy()) -> DataFrame:
+    """One row over the stream (commit, ts, path, role, trust, previous_path): commits in the window and before it, newest and
+    oldest time, renames, bulk commits, and pairs that were declined (none: pairs are spilled, not limited)."""
+    inside = F.col("ts") >= start
+    per = changes.groupBy("commit").agg(F.max("ts").alias("ts"), F.countDistinct(F.when(
+        (F.col("role") == "primary") & (F.col("trust") == "trusted"), F.col("path"))).alias("files"),
+        F.sum(F.col("previous_path").isNotNull().cast("long")).alias("renames"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return per.agg(n(inside).alias("streamed"), n(~inside).alias("excluded"), F.max(F.when(inside, F.col("ts"))).alias("newest"),
+                   F.min(F.when(inside, F.col("ts"))).alias("oldest"), F.coalesce(F.sum(F.when(inside, F.col("renames"))), F.lit(0)).alias("renames"),
+                   n(inside & (F.col("files") > policy.bulk_files)).alias("bulk"), F.lit(0).cast("long").alias("declined_pairs"))
+
+
+def pair_evidence(changes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (left, right) with the least role and trust that either package showed in a commit that both changed: the
+    strongest evidence there is of each side. Roles rank as in ROLE_ORDER, trusted before advisory."""
+    rank = F.array_position(F.array(*[F.lit(r) for r in ROLE_ORDER]), F.col("role")).cast("int") * 2 + (F.col("trust") != "trusted").cast("int")
+    best = changes.groupBy("commit", "package").agg(F.min(rank).alias("rank"))
+    side = lambda n: best.select("commit", F.col("package").alias(n), F.col("rank").alias(f"rank_{n}"))
+    both = side("left").join(side("right"), "commit").where("left < right").groupBy("left", "right").agg(
+        F.min("rank_left").alias("l"), F.min("rank_right").alias("r"))
+    name = lambda c: F.concat_ws("/", F.get(F.array(*[F.lit(r) for r in ROLE_ORDER]), F.floor(F.col(c) / 2).cast("int") - 1),
+                                 F.when(F.col(c) % 2 == 0, "trusted").otherwise("advisory"))
+    return pairs.join(both, ["left", "right"]).select(*[F.col(f"`{c}`") for c in pairs.columns], name("l").alias("evidence_left"), name("r").alias("evidence_right"))

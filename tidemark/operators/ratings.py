@@ -24,10 +24,14 @@ def assess(units: DataFrame, policy: HealthPolicy = HealthPolicy()) -> DataFrame
 
 
 def finding_rank(assessed: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` findings of the total order. The sort ends at ``top`` rows before they are numbered."""
+    """The first ``top`` findings of the total order. The sort ends at ``top`` rows before they are numbered. hot (BOOLEAN) and
+    activity (changes of the file in the window) count where the findings have them."""
+    for name, none in (("hot", F.lit(False)), ("activity", F.lit(0))):
+        if name not in assessed.columns:
+            assessed = assessed.withColumn(name, none)
     role_class = F.when(F.col("role") == "primary", 0).when(F.col("role").isin(*VERDICT_ROLES), 1).otherwise(2)
-    order = [F.desc("rating"), F.asc("role_class"), F.desc("signals_at_rating"), F.desc("triggered"), F.desc("cognitive"),
-             F.desc("cyclomatic"), F.desc("logical_lines"), F.asc("path"), F.asc("start_line"), F.asc("ordinal"),
+    order = [F.desc("rating"), F.asc("role_class"), F.desc("hot"), F.desc("signals_at_rating"), F.desc("triggered"), F.desc("cognitive"),
+             F.desc("cyclomatic"), F.desc("logical_lines"), F.desc("activity"), F.asc("path"), F.asc("start_line"), F.asc("ordinal"),
              F.desc("max_nesting"), F.desc("parameter_count"), F.asc("trust")]
     first = assessed.where("rating > 0").withColumn("role_class", role_class.cast("long")).orderBy(*order).limit(top)
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
@@ -99,3 +103,31 @@ def gate_snapshot(assessed: DataFrame) -> DataFrame:
     x = assessed.where("affects_verdict").select("path", F.explode(kinds).alias("x")).select("path", "x.signal", "x.r")
     return (x.where("r > 0").groupBy("path", "signal")
             .agg(F.sum((F.col("r") == 2).cast("long")).alias("high"), F.sum((F.col("r") == 1).cast("long")).alias("watch")))
+
+
+#: Classes of selected files in the order in which they are asked.
+COVERAGE = ("unsupported", "failed", "context", "recovered", "clean")
+
+
+def file_coverage(files: DataFrame, *keys) -> DataFrame:
+    """Files, lines and bytes (role, trust, parse_status, lines, bytes) of each class: not supported, not parsed, outside the
+    verdict's roles, recovered, clean; and of all."""
+    verdict = F.col("role").isin(*VERDICT_ROLES)
+    kind = (F.when(F.col("parse_status") == "unsupported", "unsupported").when(F.col("parse_status") == "failed", "failed")
+            .when(~verdict, "context").when(F.col("parse_status") == "recovered", "recovered").otherwise("clean"))
+    f = files.withColumn("class", kind)
+    total = lambda c, k: F.coalesce(F.sum(F.when(F.col("class") == k, c)), F.lit(0)).cast("long")
+    what = {"files": F.lit(1), "lines": F.coalesce("lines", F.lit(0)), "bytes": F.coalesce("bytes", F.lit(0))}
+    return f.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(f"selected_{n}") for n, c in what.items()],
+                                *[total(c, k).alias(f"{k}_{n}") for k in COVERAGE for n, c in what.items()])
+
+
+def whole_gate_snapshot(assessed: DataFrame, **findings: DataFrame) -> DataFrame:
+    """The gate's rows of units and of other findings: by signal (file_size, container_size, file_cycle, package_cycle,
+    stable_dependency) a table of path and rating; cycles and dependencies go by the path of their witness."""
+    out = gate_snapshot(assessed)
+    for signal, rows in findings.items():
+        out = out.union(rows.where("rating > 0").groupBy("path").agg(
+            F.sum((F.col("rating") == 2).cast("long")).alias("high"), F.sum((F.col("rating") == 1).cast("long")).alias("watch"))
+            .select("path", F.lit(signal).alias("signal"), "high", "watch"))
+    return out

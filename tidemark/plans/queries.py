@@ -797,7 +797,7 @@ def event_hotspots_stream(spark: SparkSession, sf: str) -> DataFrame:
     return daily_changes(spark, f"{sf}/events.parquet")
 
 
-from . import architecture, cards  # noqa: E402, F401  (they add their queries)
+from . import architecture, cards, more  # noqa: E402, F401  (they add their queries)
 
 
 def queries() -> dict:
