@@ -153,20 +153,19 @@ def eligible_change_coupling(spark: SparkSession, sf: str) -> DataFrame:
     return history.package_coupling(c).select("left", "right", "shared", "touch_left", "touch_right", "union")
 
 
-_GAP = """bad AS (SELECT DISTINCT p_brand AS package FROM part WHERE p_size % 5 = 0 AND p_type = 'PROMO' AND p_retailprice > {0}),
+_GAP = """bad AS (SELECT DISTINCT p_brand AS package FROM part WHERE p_size = 5 AND p_type = 'PROMO'),
 f AS (SELECT DISTINCT path, package FROM changes)"""
-_PRICE = 1800
 
 
 def _leaks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = B.order_changes(spark, sf)
     rows = history.file_coupling(c, _LOOSE).where("distance >= 2").withColumn(
         "kind", F.when(F.col("shared") > 2, "leaky_interface").otherwise("hidden_coupling"))
-    bad = B.table(spark, sf, "part").where(f"p_size % 5 = 0 AND p_type = 'PROMO' AND p_retailprice > {_PRICE}").select(F.col("p_brand").alias("package"))
+    bad = B.table(spark, sf, "part").where("p_size = 5 AND p_type = 'PROMO'").select(F.col("p_brand").alias("package"))
     return rows, c.select("path", "package").distinct(), bad
 
 
-_LEAKS = f"""{B.ORDERS}, {_FILE_PAIRS}, {_GAP.format(_PRICE)}, k AS (SELECT *, CASE WHEN shared > 2 THEN 'leaky_interface' ELSE 'hidden_coupling' END AS kind,
+_LEAKS = f"""{B.ORDERS}, {_FILE_PAIRS}, {_GAP}, k AS (SELECT *, CASE WHEN shared > 2 THEN 'leaky_interface' ELSE 'hidden_coupling' END AS kind,
   EXISTS (SELECT 1 FROM f JOIN bad USING (package) WHERE path IN ("left", "right")) AS gap FROM pairs WHERE distance >= 2)"""
 
 

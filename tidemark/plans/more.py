@@ -90,11 +90,11 @@ def pair_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT CASE p_size % 3 WHEN 0 THEN 'reach' WHEN 1 THEN 'core' ELSE 'leakage' END AS kind, p_brand AS package FROM part),
-c AS (SELECT DISTINCT p_brand AS package FROM part WHERE p_retailprice > 1850), b AS (SELECT DISTINCT p_brand AS package FROM part WHERE p_retailprice < 950)
+c AS (SELECT DISTINCT p_brand AS package FROM part WHERE p_size = 7 AND p_type = 'SMALL'), b AS (SELECT DISTINCT p_brand AS package FROM part WHERE p_size = 11 AND p_type = 'LARGE')
 SELECT kind, count(*) FILTER (package IN (SELECT package FROM c) OR package IN (SELECT package FROM b)) AS total, count(*) FILTER (package IN (SELECT package FROM c)) AS current,
   count(*) FILTER (package IN (SELECT package FROM b)) AS base FROM f GROUP BY kind""")
 def suppressed_comparisons(spark: SparkSession, sf: str) -> DataFrame:
     p = B.table(spark, sf, "part")
     kind = F.when(F.col("p_size") % 3 == 0, "reach").when(F.col("p_size") % 3 == 1, "core").otherwise("leakage")
     package = F.col("p_brand").alias("package")
-    return comparisons.suppressed(p.select(kind.alias("kind"), package), p.where("p_retailprice > 1850").select(package), p.where("p_retailprice < 950").select(package))
+    return comparisons.suppressed(p.select(kind.alias("kind"), package), p.where("p_size = 7 AND p_type = 'SMALL'").select(package), p.where("p_size = 11 AND p_type = 'LARGE'").select(package))
