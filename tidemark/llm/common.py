@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, written
+
 #: ASCII white space other than the blank itself; words are runs of anything else.
 ASCII_WS = "\t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,27 +61,13 @@ def once(keyed: DataFrame, repeated: DataFrame, key: str = "key") -> DataFrame:
     return sized_join(keyed, repeated, key, "left_anti").unionByName(many)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local session without one (tests) gets a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def input_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -1,39 +1,5 @@
-"""Connected components by alternating large-star and small-star rounds, each round written to the shared folder."""
+"""Connected components: the library's star rounds."""
 
-from __future__ import annotations
+from ..operators.graph import star_components as connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from . import common as C
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b) that is not its component's smallest node, the root.
-
-    Null ends and loops are ignored. Rounds grow with the logarithm of the longest path. Every join is an
-    equi-join of two shuffled sides, so a hub with very many edges is split by adaptive skew handling; minima are
-    combined before the shuffle. Only a count and a checksum reach the driver.
-    """
-    e = (edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    e = C.materialize(e, "edges")
-    state = _state(e)
-    while state[0]:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-                 .where("a <> b").distinct())
-        large = C.materialize(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .union(low.select("a", F.col("m").alias("b"))).distinct())
-        e = C.materialize(small, "small")
-        before, state = state, _state(e)
-        if state == before:
-            break
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+__all__ = ["connected_components"]
