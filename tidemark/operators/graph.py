@@ -94,12 +94,28 @@ def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
     return reached
 
 
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges (written) without those that no cycle can hold: again and again, edges from nodes that nothing leads to and to
+    nodes that lead nowhere are left out."""
+    n = e.count()
+    while n:
+        e = written(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+                    .join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "trimmed")
+        n, before = e.count(), n
+        if n == before:
+            break
+    return e
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) by colouring: the largest label is spread forwards; from each root the nodes of its colour that
-    reach it are its component; what is left goes round again. No transitive closure is built."""
-    e = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    left = written(nodes(edges), "left")
-    done = None
+    """(node, component) by colouring: nodes that no cycle can hold are components of their own; among the others the largest
+    label is spread forwards; from each root the nodes of its colour that reach it are its component; what is left goes round
+    again. No transitive closure is built."""
+    alone = lambda d: d.select("node", F.col("node").alias("color"))
+    every = written(nodes(edges), "nodes")
+    e = _trimmed(written(edges.select("src", "dst").where("src <> dst").distinct(), "edges"))
+    left = written(nodes(e), "left")
+    done = written(alone(every.join(left, "node", "left_anti")), "alone")
     while left.take(1):
         color = written(left.select("node", F.col("node").alias("color")), "color")
         while True:
@@ -120,12 +136,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
             if not frontier.take(1):
                 break
             found = written(found.union(frontier), "found")
-        done = found if done is None else done.union(found)
         left = written(left.join(found, "node", "left_anti"), "left")
-        e = written(e.join(left.select(F.col("node").alias("src")), "src", "left_semi")
-                    .join(left.select(F.col("node").alias("dst")), "dst", "left_semi"), "edges")
-    if done is None:
-        return left.select("node", F.col("node").alias("component"))
+        e = _trimmed(written(e.join(left.select(F.col("node").alias("src")), "src", "left_semi")
+                             .join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "edges"))
+        rest = written(nodes(e), "left")
+        done = done.union(found).union(alone(left.join(rest, "node", "left_anti")))
+        left = rest
     low = done.groupBy("color").agg(F.min("node").alias("component"))
     return done.join(low, "color").select("node", "component")
 
