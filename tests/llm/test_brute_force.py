@@ -404,6 +404,23 @@ def test_toxicity_of_few_and_odd_labels(spark):
     assert flagged.count() == 6 and flagged.where("toxic IS NULL").count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    rng = np.random.default_rng(3)
+    calm, vile = [f"calm{k}x" for k in range(40)], [f"vile{k:02d}" for k in range(40)]
+    vile = [hashlib.sha256(w.encode()).hexdigest()[:9] for w in vile]  # no beginnings in common
+    rows = [(i, " ".join(rng.choice(calm, 6)) + (f" {vile[i // 3 % 40]}" if i % 3 == 0 else ""), "en" if i % 2 else None) for i in range(1200)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(1200)], "doc_id long, quality int, toxic int")
+    policy = toxicity.Policy(fit_chars=4000, batch=8, starts=2)
+    probe = spark.createDataFrame([(k, f"{calm[k]} {calm[k - 1]} {w}") for k, w in enumerate(vile)] +
+                                  [(100 + k, f"{calm[k]} {calm[k - 1]} {calm[k - 2]}") for k in range(40)], "doc_id long, text string")
+    ways = [toxicity.fit(d, labels, policy) for d in (docs, docs.repartition(7))]
+    one, two = ({r.doc_id: r.score for r in toxicity.score(probe, m, "doc_id").collect()} for m in ways)
+    assert one == two and ways[0].thresholds == ways[1].thresholds and set(ways[0].thresholds) == {None, "en"}
+    clean = max(one[100 + k] for k in range(40))
+    assert sum(one[k] > clean for k in range(40)) >= 38
+
+
 def test_empty_tables(docs, spark):
     from tidemark.llm import quality, suffix_dedup
 
