@@ -79,7 +79,7 @@ def input_columns(df: DataFrame, *names: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, rows: int | None = None) -> DataFrame:
+def sized_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int | None = None) -> DataFrame:
     """Join with ``small`` (written already), broadcast only if its counted rows are within the bound."""
     n = small.count() if rows is None else rows
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)

@@ -138,7 +138,8 @@ def mixture(docs: DataFrame, policy: MixPolicy = MixPolicy()) -> DataFrame:
     q = (u / (1 - u)) / odds
     # q / (1 + q) keeps the order of q and lies in (0, 1), so it can be cut into bins.
     d = d.withColumn("z", F.when(F.col("part") > 0, q / (1 + q)).otherwise(F.lit(2.0)))
-    d = d.select("doc_id", "key", "source_key", "is_null", "size", "source_size", "target", "chance", "certain", "rest", "z")
+    # Written once: each later step plans a scan of narrow rows, not all the joins before it anew (the driver holds those plans).
+    d = C.materialize(d.select("doc_id", "key", "source_key", "is_null", "size", "source_size", "target", "chance", "certain", "rest", "z"), "ranked")
     width = 1.0
     cut = per.select(*on, "rest", F.lit(0.0).alias("low"), F.lit(0.0).alias("spent"))
     for r in range(policy.rounds):
@@ -163,7 +164,7 @@ def mixture(docs: DataFrame, policy: MixPolicy = MixPolicy()) -> DataFrame:
             .groupBy(*on, "key").agg(F.sum((F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("long")).alias("edge"),
                                      F.count(F.lit(1)).alias("same")))
     # Equal rows have one key: of them the first ones are taken.
-    d = d.withColumn("is_edge", edge).join(last, [*on, "key"], "left")
+    d = C.sized_join(d.withColumn("is_edge", edge), C.materialize(last, "edge"), [*on, "key"], "left")
     nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     many = d.where(F.col("same") > 1)
     one = d.where(F.coalesce(F.col("same"), F.lit(1)) <= 1)
@@ -179,8 +180,9 @@ def take(docs: DataFrame, policy: MixPolicy = MixPolicy()) -> DataFrame:
     copies = mixture(docs, policy).groupBy("key").agg(
         F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows")).where("all > 0")
     key, every, rows, times, i = C.free(docs, "__key", "__all", "__rows", "__n", "__i")
-    copies = copies.select(F.col("key").alias(key), F.col("all").alias(every), F.col("rows").alias(rows))
-    keyed = docs.withColumn(key, C.row_key(F.col("doc_id"), F.col("source"), F.col("text"))).join(copies, key)
+    copies = C.materialize(copies.select(F.col("key").alias(key), F.col("all").alias(every), F.col("rows").alias(rows)), "taken")
+    # By a sort on both sides whatever their size, as without the table.
+    keyed = docs.withColumn(key, C.row_key(F.col("doc_id"), F.col("source"), F.col("text"))).join(copies.hint("merge"), key)
     # Equal rows share their copies; the first of them takes what does not divide.
     if copies.where(F.col(rows) > 1).take(1):
         nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
