@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,24 @@ def sized_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str,
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
 
 
+#: What jobs on whole texts and other long rows hold at once: bytes sent to a Python worker (Spark's own bound is 64 MB, which
+#: the JVM holds several times, and the worker too) and rows that Spark's Parquet reader decodes (its own: 4,096).
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 64}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hold few long rows at once; what the caller has set stays as it is."""
+    ours = {k: v for k, v in SMALL.items() if k not in spark.conf.getAll}
+    try:
+        for k, v in ours.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k in ours:
+            spark.conf.unset(k)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Rows sorted by their first columns (as many as keys, long, never null): the rows of one key after the other, each
     column in one chunk. One group is in memory at a time."""

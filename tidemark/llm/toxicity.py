@@ -413,6 +413,11 @@ def learnable():
 
 def fit(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> Model:
     """Train on all labelled rows of docs that may be learned from."""
+    with C.small_batches(docs.sparkSession):
+        return _fit(docs, labels, policy)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, policy: Policy) -> Model:
     marks = C.materialize(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
                           .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnable()).distinct(), "toxic-marks")
     n_marks = marks.count()
@@ -582,8 +587,9 @@ def score(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
 
 def flag(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, score and the verdict at the threshold of the document's language."""
-    own = [(lang, t) for lang, t in model.thresholds.items() if lang is not None]
-    cuts = docs.sparkSession.createDataFrame(own, "lang string, cut double")
+    own = {lang: t for lang, t in model.thresholds.items() if lang is not None}
+    # As an Arrow table: of a list, Spark would make rows in Python workers that then stay beside those that score.
+    cuts = docs.sparkSession.createDataFrame(pa.table([pa.array(own, pa.string()), pa.array(own.values(), pa.float64())], ["lang", "cut"]))
     cut = F.coalesce(F.col("cut"), F.lit(model.thresholds.get(None, 0.5)))
     return (C.sized_join(score(docs, model, "doc_id", "lang"), cuts, "lang", "left", len(own))
             .select("doc_id", "lang", "score", (F.col("score") >= cut).cast("int").alias("toxic")))
@@ -592,7 +598,8 @@ def flag(docs: DataFrame, model: Model) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = flag(docs, model)
+    with C.small_batches(spark):  # what is scored here, while that holds, is written: narrow rows, no text
+        found = C.materialize(flag(docs, model), "toxic-scores")
     return found.select("doc_id", (~F.coalesce(learnable(), F.lit(True))).alias("held_out"), "score",
                         (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("toxic").alias("toxic_by_lang"))
 
