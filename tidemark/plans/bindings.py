@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,7 +69,9 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commit stream of the orders: commit, contributor, ts, path, package, role, trust, added, deleted."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     binary = F.col("l_returnflag") == "R"
-    return (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey).select(
+    # The orders come last: what groups by commit finds the rows dealt by it.
+    of_part = dealt(li.join(p, li.l_partkey == p.p_partkey), li, "l_orderkey")
+    return (of_part.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderkey").alias("commit"), F.col("o_orderpriority").alias("contributor"), F.col("o_custkey").alias("author"),
         F.col("o_orderdate").alias("ts"),
         F.concat(F.regexp_replace("p_brand", "#", "/"), F.lit("/p"), F.col("p_partkey")).alias("path"),
