@@ -7,7 +7,7 @@ from tidemark import shared
 from tidemark.plans import bindings, queries
 
 #: Queries over the orders' changes.
-ORDERED = ["pair_evidence", "change_amplification", "file_churn", "package_churn", "history_counters"]
+ORDERED = ["pair_evidence", "change_amplification", "file_churn", "package_churn", "history_counters", "ownership"]
 
 
 @pytest.fixture
