@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import shared
+from tidemark.operators import history
 from tidemark.plans import bindings, queries
+from tidemark.policy import HistoryPolicy
 
 #: Queries over the orders' changes.
 ORDERED = ["pair_evidence", "change_amplification", "file_churn", "package_churn", "history_counters", "ownership"]
@@ -31,3 +33,14 @@ def test_few_rows_are_left_to_the_session(spark, small):
 def test_query_deals_its_changes(spark, small, small_tasks, name):
     plan = queries.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [l_orderkey" in plan
+
+
+def test_file_pairs_deal_rows_once(spark, tmp_path, monkeypatch):
+    """Rows that are dealt by commit are listed where they are; a file that a commit names again counts once."""
+    rows = [(k, f"d{i % 3}/f{i}", "primary", "trusted") for k in range(40) for i in [0, 1, 1, 2, *([3, 4, 5, 5] if k % 2 else [])]]
+    c = spark.createDataFrame(rows, "commit long, path string, role string, trust string").repartition(7, "commit")
+    plans, plain = [], history.written
+    monkeypatch.setattr(history, "written", lambda d, name: plans.append(d._jdf.queryExecution().executedPlan().toString()) or plain(d, name))
+    got = history.file_coupling(c, HistoryPolicy(bulk_files=4, file_permille=0)).select("left", "right", "shared").collect()
+    assert sorted(map(tuple, got)) == [("d0/f0", "d1/f1", 20), ("d0/f0", "d2/f2", 20), ("d1/f1", "d2/f2", 20)]
+    assert plans[0].count("Exchange hashpartitioning") == 1

@@ -91,12 +91,11 @@ def file_coupling(changes: DataFrame, policy: HistoryPolicy = HistoryPolicy()) -
     """Files of different directories that change together. Bulk commits are left out with their touches, which also
     bounds what one commit can add to the pairs."""
     graph = changes.where((F.col("role") == "primary") & (F.col("trust") == "trusted"))
-    # Dealt by commit once: distinct files, their number and the list of a small commit need no other shuffle. The list ends
+    # Ranked by commit, files that occur again share a rank: rows that are dealt by commit need no other shuffle. The list ends
     # one file beyond the bound, so a bulk commit is never gathered.
-    each = graph.select("commit", "path").repartition("commit").distinct()
-    nth = F.row_number().over(Window.partitionBy("commit").orderBy("path"))
-    lists = (each.withColumn("nth", nth).where(F.col("nth") <= policy.bulk_files + 1).groupBy("commit")
-             .agg(F.sort_array(F.collect_list("path")).alias("files")).where(F.size("files") <= policy.bulk_files).select("files"))
+    nth = F.dense_rank().over(Window.partitionBy("commit").orderBy("path"))
+    lists = (graph.select("commit", "path").withColumn("nth", nth).where(F.col("nth") <= policy.bulk_files + 1).groupBy("commit")
+             .agg(F.sort_array(F.collect_set("path")).alias("files")).where(F.size("files") <= policy.bulk_files).select("files"))
     lists = written(lists, "commits")
     touch = lists.select(F.explode("files").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("touches"))
     two = F.flatten(F.transform("files", lambda x, i: F.transform(F.slice("files", i + 2, F.size("files")), lambda y: F.struct(x.alias("left"), y.alias("right")))))
