@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import shared
-from tidemark.operators import history
+from tidemark.operators import graph, history
 from tidemark.plans import bindings, queries
 from tidemark.policy import HistoryPolicy
 
@@ -44,3 +44,14 @@ def test_file_pairs_deal_rows_once(spark, tmp_path, monkeypatch):
     got = history.file_coupling(c, HistoryPolicy(bulk_files=4, file_permille=0)).select("left", "right", "shared").collect()
     assert sorted(map(tuple, got)) == [("d0/f0", "d1/f1", 20), ("d0/f0", "d2/f2", 20), ("d1/f1", "d2/f2", 20)]
     assert plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_large_graphs_are_not_broadcast(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1), (7, 7)], "src long, dst long")
+    plans, plain = [], graph.written
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 3)
+    monkeypatch.setattr(graph, "written", lambda d, name: plans.append(d._jdf.queryExecution().executedPlan().toString()) or plain(d, name))
+    got = graph.strong_components(edges)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,13 +96,22 @@ def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
     return reached
 
 
-def _trimmed(e: DataFrame) -> DataFrame:
+#: A table of a graph of more nodes is never broadcast: numbers compress so well that Spark takes large tables for small ones, and
+#: each of the rounds would send them through the driver.
+BROADCAST_NODES = 100_000
+
+
+def _sized(large: bool) -> Callable[[DataFrame], DataFrame]:
+    return lambda d: d.hint("merge") if large else d
+
+
+def _trimmed(e: DataFrame, far: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (written) without those that no cycle can hold: again and again, edges from nodes that nothing leads to and to
     nodes that lead nowhere are left out."""
     n = e.count()
     while n:
-        e = written(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-                    .join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "trimmed")
+        e = written(e.join(far(e.select(F.col("dst").alias("src")).distinct()), "src", "left_semi")
+                    .join(far(e.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi").select("src", "dst"), "trimmed")
         n, before = e.count(), n
         if n == before:
             break
@@ -113,37 +124,38 @@ def strong_components(edges: DataFrame) -> DataFrame:
     again. No transitive closure is built."""
     alone = lambda d: d.select("node", F.col("node").alias("color"))
     every = written(nodes(edges), "nodes")
-    e = _trimmed(written(edges.select("src", "dst").where("src <> dst").distinct(), "edges"))
+    far = _sized(every.count() > BROADCAST_NODES)
+    e = _trimmed(written(edges.select("src", "dst").where("src <> dst").distinct(), "edges"), far)
     left = written(nodes(e), "left")
-    done = written(alone(every.join(left, "node", "left_anti")), "alone")
+    done = written(alone(every.join(far(left), "node", "left_anti")), "alone")
     while left.take(1):
         color = written(left.select("node", F.col("node").alias("color")), "color")
         while True:
-            far = e.join(color, e.src == color.node).groupBy("dst").agg(F.max("color").alias("top"))
-            new = written(color.join(far, color.node == far.dst, "left").select(
+            top = e.join(far(color), e.src == color.node).groupBy("dst").agg(F.max("color").alias("top"))
+            new = written(color.join(far(top), color.node == top.dst, "left").select(
                 "node", F.greatest("color", "top").alias("color"), F.col("color").alias("old")), "color")
             color = new.select("node", "color")
             if not new.where("color <> old").take(1):
                 break
-        back = e.join(color.select(F.col("node").alias("src"), F.col("color").alias("cs")), "src").join(
-            color.select(F.col("node").alias("dst"), F.col("color").alias("cd")), "dst").where("cs = cd")
+        back = e.join(far(color.select(F.col("node").alias("src"), F.col("color").alias("cs"))), "src").join(
+            far(color.select(F.col("node").alias("dst"), F.col("color").alias("cd"))), "dst").where("cs = cd")
         back = written(back.select("src", "dst", F.col("cs").alias("color")), "back")
         found = frontier = written(color.where("node = color"), "roots")
         while True:
-            new = (back.join(frontier.select(F.col("node").alias("dst"), "color"), ["dst", "color"])
-                   .select(F.col("src").alias("node"), "color").distinct().join(found, "node", "left_anti"))
+            new = (back.join(far(frontier.select(F.col("node").alias("dst"), "color")), ["dst", "color"])
+                   .select(F.col("src").alias("node"), "color").distinct().join(far(found), "node", "left_anti"))
             frontier = written(new, "frontier")
             if not frontier.take(1):
                 break
             found = written(found.union(frontier), "found")
-        left = written(left.join(found, "node", "left_anti"), "left")
-        e = _trimmed(written(e.join(left.select(F.col("node").alias("src")), "src", "left_semi")
-                             .join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "edges"))
+        left = written(left.join(far(found), "node", "left_anti"), "left")
+        e = _trimmed(written(e.join(far(left.select(F.col("node").alias("src"))), "src", "left_semi")
+                             .join(far(left.select(F.col("node").alias("dst"))), "dst", "left_semi").select("src", "dst"), "edges"), far)
         rest = written(nodes(e), "left")
-        done = done.union(found).union(alone(left.join(rest, "node", "left_anti")))
+        done = done.union(found).union(alone(left.join(far(rest), "node", "left_anti")))
         left = rest
     low = done.groupBy("color").agg(F.min("node").alias("component"))
-    return done.join(low, "color").select("node", "component")
+    return done.join(far(low), "color").select("node", "component")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
