@@ -9,7 +9,7 @@ from tidemark.plans import bindings, queries
 from tidemark.policy import HistoryPolicy
 
 #: Queries over the orders' changes.
-ORDERED = ["pair_evidence", "change_amplification", "file_churn", "package_churn", "history_counters", "ownership"]
+ORDERED = ["pair_evidence", "change_amplification", "file_churn", "package_churn", "history_counters", "ownership", "history_cards"]
 
 
 @pytest.fixture
