@@ -27,22 +27,24 @@ def relative_candidates(references: DataFrame) -> DataFrame:
     """(ref_id, candidate): relative targets (ref_id, directory, target) below their source's directory, others below the root."""
     t = strip_suffix(F.col("target"))
     at = F.when(F.startswith(t, F.lit(".")), F.concat_ws("/", "directory", t)).otherwise(t)
-    return references.select("ref_id", clean(at).alias("candidate")).where("candidate IS NOT NULL")
+    # A filter would be pushed below and clean the path once more.
+    return references.select("ref_id", F.explode(F.array_compact(F.array(clean(at)))).alias("candidate"))
 
 
 def runtime_candidates(candidates: DataFrame) -> DataFrame:
     """The candidates with priority 0 and, with priority 1, what their runtime extension may stand for."""
     ext = F.regexp_extract("candidate", r"\.([a-z]+)$", 1)
     table = F.create_map(*[x for k, v in RUNTIME.items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v]))])
-    more = candidates.select("ref_id", F.regexp_replace("candidate", r"\.[a-z]+$", ".").alias("stem"),
-                             F.explode(F.try_element_at(table, ext)).alias("e"))
-    return candidates.select("ref_id", "candidate", F.lit(0).alias("priority")).union(
-        more.select("ref_id", F.concat("stem", "e"), F.lit(1)))
+    stem = F.regexp_replace("candidate", r"\.[a-z]+$", ".")
+    one = lambda c, n: F.struct(c.alias("candidate"), F.lit(n).alias("priority"))
+    more = F.transform(F.coalesce(F.try_element_at(table, ext), F.array().cast("array<string>")), lambda e: one(F.concat(stem, e), 1))
+    # One pass: a union would read and clean the references twice.
+    return candidates.select("ref_id", F.inline(F.concat(F.array(one(F.col("candidate"), 0)), more)))
 
 
 def unique_match(references: DataFrame, candidates: DataFrame, files: DataFrame) -> DataFrame:
     """Each reference's outcome by its candidates of the first priority that has a file: one file resolves it, several
-    are ambiguous, none leaves it unresolved."""
+    are ambiguous, none leaves it unresolved. Candidates may occur again: only those that have a file are folded."""
     hit = candidates.join(files.select(F.col("path").alias("candidate")), "candidate")
     first = hit.groupBy("ref_id", "priority").agg(F.countDistinct("candidate").alias("n"), F.min("candidate").alias("path"))
     best = first.groupBy("ref_id").agg(F.min_by(F.struct("n", "path"), "priority").alias("m"))
@@ -112,7 +114,7 @@ def script_match(references: DataFrame, files: DataFrame, exact: DataFrame | Non
     ends = F.array(*[F.lit(f".{e}") for e in SCRIPT_ENDINGS])
     longer = exact.select("ref_id", F.explode(F.transform(ends, lambda e: F.concat("candidate", e))).alias("candidate"), F.lit(2))
     index = exact.select("ref_id", F.explode(F.transform(ends, lambda e: F.concat(F.col("candidate"), F.lit("/index"), e))).alias("candidate"), F.lit(3))
-    return unique_match(references.select("ref_id").distinct(), runtime_candidates(exact).union(longer).union(index).distinct(), files)
+    return unique_match(references.select("ref_id").distinct(), runtime_candidates(exact).union(longer).union(index), files)
 
 
 def include_candidates(references: DataFrame) -> DataFrame:
