@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from tidemark import shared
 from tidemark.operators import graph, history
-from tidemark.plans import bindings, queries
+from tidemark.plans import architecture, bindings, cards, more, queries  # noqa: F401 (they register theirs)
 from tidemark.policy import HistoryPolicy
 
 #: Queries over the orders' changes.
-ORDERED = ["pair_evidence", "change_amplification", "file_churn", "package_churn", "history_counters", "ownership", "history_cards"]
+ORDERED = ["pair_evidence", "change_amplification", "file_churn", "package_churn", "history_counters", "ownership", "history_cards", "scope_amplification"]
 
 
 @pytest.fixture
