@@ -9,7 +9,7 @@ from tidemark.plans import architecture, bindings, cards, more, queries  # noqa:
 from tidemark.policy import HistoryPolicy
 
 #: Queries over the orders' changes.
-ORDERED = ["pair_evidence", "change_amplification", "file_churn", "package_churn", "history_counters", "ownership", "history_cards", "scope_amplification"]
+ORDERED = ["pair_evidence", "change_amplification", "file_churn", "package_churn", "history_counters", "ownership", "history_cards", "scope_amplification", "eligible_change_coupling"]
 
 
 @pytest.fixture
