@@ -147,6 +147,6 @@ def test_candidates_clean_each_reference_once(spark):
     refs = spark.createDataFrame([(1, "a", "./x.js?raw"), (2, "a", "../../x.js"), (3, "a", "y.mjs")], "ref_id long, directory string, target string")
     c = resolution.runtime_candidates(resolution.relative_candidates(refs))
     assert sorted(map(tuple, c.collect())) == [(1, "a/x.js", 0), (1, "a/x.ts", 1), (1, "a/x.tsx", 1), (3, "y.mjs", 0), (3, "y.mts", 1), (3, "y.ts", 1)]
-    # Folding a path is one aggregate over its parts (an if and an array_join name it again).
+    # A union reads the references twice; a filter on the candidate is pushed below and cleans the path again.
     plan = c._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Filter" not in plan
